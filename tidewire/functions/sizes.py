@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ BYTE_LETTERS = {"": 0, "k": 1, "m": 2, "g": 3, "t": 4}
 BYTES_PATTERN = r"^\s*([0-9]+(?:\.[0-9]+)?)\s*([kKmMgGtT]?)[bB]?\s*$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times; keeps generated code small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fixed(value: Column, digits: int) -> Column:
     """``%.<digits>f`` of a non-negative double, rounding the exact binary value half to even.
 
@@ -23,28 +29,35 @@ def fixed(value: Column, digits: int) -> Column:
     turns 2.25 into 2.3. The mantissa is scaled to an integer (exact, a power
     of two) and rounded in integer arithmetic.
     """
-    original = value.cast("double")
-    x = F.least(original, F.lit(2047.0))  # larger values go through the formatter below
-    small = x < 1.0
-    bits = F.when(small, F.lit(62)).otherwise(F.lit(52))
-    scaled = F.when(small, x * float(2**62)).otherwise(x * float(2**52)).cast("bigint")
-    one = F.pow(F.lit(2.0), bits).cast("bigint").cast("decimal(20,0)")
-    wide = (scaled.cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(5,0)")).cast("decimal(38,0)")
-    # decimal % is exact; subtracting the remainder makes the division exact too
-    rest = wide % one
-    whole = ((wide - rest) / one).cast("decimal(38,0)").cast("bigint")
-    twice = rest * F.lit(2).cast("decimal(5,0)")
-    up = (twice > one) | ((twice == one) & (whole % 2 == 1))
-    units = whole + F.when(up, 1).otherwise(0)
-    if digits == 0:
-        exact = units.cast("string")
-    else:
-        exact = F.concat(
-            F.floor(units / F.lit(10**digits)).cast("string"),
-            F.lit("."),
-            F.lpad((units % 10**digits).cast("string"), digits, "0"),
-        )
-    return F.when(original < 2047.0, exact).otherwise(F.format_string(f"%.{digits}f", original))
+
+    def scaled(v: Column) -> Column:
+        small = v < 1.0
+        power = F.when(small, F.lit(float(2**62))).otherwise(F.lit(float(2**52)))
+        wide = (v * power).cast("bigint").cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(5,0)")
+        return F.struct(wide.cast("decimal(38,0)").alias("wide"), power.cast("decimal(20,0)").alias("one"))
+
+    def divided(p: Column) -> Column:
+        rest = p["wide"] % p["one"]
+        whole = ((p["wide"] - rest) / p["one"]).cast("bigint")
+        return F.struct((rest * 2).alias("twice"), whole.alias("whole"), p["one"].alias("one"))
+
+    def rounded(p: Column) -> Column:
+        up = (p["twice"] > p["one"]) | ((p["twice"] == p["one"]) & (p["whole"] % 2 == 1))
+        return p["whole"] + F.when(up, 1).otherwise(0)
+
+    def shown(units: Column) -> Column:
+        if digits == 0:
+            return units.cast("string")
+        fraction = F.lpad((units % 10**digits).cast("string"), digits, "0")
+        return F.concat(F.floor(units / F.lit(10**digits)).cast("string"), F.lit("."), fraction)
+
+    def exact(v: Column) -> Column:
+        # larger values go through the formatter and have no digits to spare
+        within = F.least(v, F.lit(2047.0))
+        text = let(let(let(scaled(within), divided), rounded), shown)
+        return F.when(v < 2047.0, text).otherwise(F.format_string(f"%.{digits}f", v))
+
+    return let(value.cast("double"), exact)
 
 
 def size_desc(number: Column, metric: bool = False, precision: int = 1) -> Column:
@@ -54,16 +67,18 @@ def size_desc(number: Column, metric: bool = False, precision: int = 1) -> Colum
     units = METRIC_UNITS if metric else BINARY_UNITS
     step = 1000.0 if metric else 1024.0
     limit = step - 0.5 * 10**-precision
-    magnitude = F.abs(number.cast("double"))
-    scaled = [magnitude]
-    for _ in units[1:]:
-        scaled.append(scaled[-1] / step)
-    shown, unit = scaled[-1], F.lit(units[-1])
-    for value, label in reversed(list(zip(scaled[:-1], units[:-1]))):
-        shown = F.when(value < limit, value).otherwise(shown)
-        unit = F.when(value < limit, F.lit(label)).otherwise(unit)
-    sign = F.when(number.cast("double") < 0, "-").otherwise("")
-    return F.when(number.isNotNull(), F.concat(sign, fixed(shown, precision), F.lit(" "), unit))
+
+    def text(n: Column) -> Column:
+        value, choices = F.abs(n), []
+        for unit in units:
+            choices.append(F.struct(value.alias("value"), F.lit(unit).alias("unit")))
+            value = value / step
+        fits = F.filter(F.array(*choices), lambda c: c["value"] < limit)
+        sign = F.when(n < 0, "-").otherwise("")
+        chosen = F.coalesce(F.get(fits, F.lit(0)), choices[-1])
+        return let(chosen, lambda c: F.concat(sign, fixed(c["value"], precision), F.lit(" "), c["unit"]))
+
+    return F.when(number.isNotNull(), let(number.cast("double"), text))
 
 
 def parse_bytes(text: Column) -> Column:
