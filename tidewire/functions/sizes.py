@@ -34,7 +34,8 @@ def fixed(value: Column, digits: int) -> Column:
         small = v < 1.0
         power = F.when(small, F.lit(float(2**62))).otherwise(F.lit(float(2**52)))
         wide = (v * power).cast("bigint").cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(5,0)")
-        return F.struct(wide.cast("decimal(38,0)").alias("wide"), power.cast("decimal(20,0)").alias("one"))
+        one = F.when(small, F.lit(2**62)).otherwise(F.lit(2**52)).cast("decimal(20,0)")
+        return F.struct(wide.cast("decimal(38,0)").alias("wide"), one.alias("one"))
 
     def divided(p: Column) -> Column:
         rest = p["wide"] % p["one"]
