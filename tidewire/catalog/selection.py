@@ -43,7 +43,7 @@ _LOGS = """logs AS (
        UNION ALL SELECT 'transport.demo.idle', NULL, NULL, 0""",
 )
 def _(t):
-    roster = t.events.select(F.lit("transport.demo.idle").alias("newsgroup")).limit(1)
+    roster = t.spark.createDataFrame([("transport.demo.idle",)], "newsgroup string")
     roster = roster.unionByName(t.feed.select("newsgroup").distinct())
     return S.list_feeds(t.feed, "transport.*", ["*.s*"], roster)
 
