@@ -64,12 +64,13 @@ def epoch(ts: Column) -> Column:
 
 def seconds(interval: Column) -> Column:
     """Seconds of a day-time interval, microseconds kept."""
-    return (
-        F.extract(F.lit("DAY"), interval) * 86400
-        + F.extract(F.lit("HOUR"), interval) * 3600
-        + F.extract(F.lit("MINUTE"), interval) * 60
-        + F.extract(F.lit("SECOND"), interval).cast("double")
+    minutes = (
+        F.extract(F.lit("DAY"), interval) * 1440
+        + F.extract(F.lit("HOUR"), interval) * 60
+        + F.extract(F.lit("MINUTE"), interval)
     )
+    rest = (F.extract(F.lit("SECOND"), interval) * 1000000).cast("bigint")
+    return (minutes.cast("bigint") * 60000000 + rest) / F.lit(1e6)
 
 
 def elapsed(start: Column, stop: Column) -> Column:
