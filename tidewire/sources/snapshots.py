@@ -8,26 +8,32 @@ from pyspark.sql import functions as F
 from tidewire.functions.sizes import let
 
 DEFAULT_SECTION = "DEFAULT"
-_OPTION = r"^\s*([^=:\s\[#;][^=:]*?)\s*[=:]\s*(.*?)\s*$"
 # An indented line goes on with the value above it; this character stands for its line break.
 _JOIN = "\u0001"
 
 
 def _options(lines: Column) -> Column:
     """The key/value pairs of a section's lines; comment lines and blank lines have none."""
+    halves = F.transform(lines, lambda line: F.split(line, r"\s*[=:]\s*", 2))
+    named = F.filter(
+        halves, lambda h: (F.size(h) == 2) & ~F.substring(F.ltrim(h[0]), 1, 1).isin("", "#", ";", "[")
+    )
     return F.transform(
-        F.filter(lines, lambda line: line.rlike(_OPTION)),
-        lambda line: F.struct(
-            F.lower(F.regexp_extract(line, _OPTION, 1)).alias("key"),
-            F.translate(F.regexp_extract(line, _OPTION, 2), _JOIN, "\n").alias("value"),
+        named,
+        lambda h: F.struct(
+            F.lower(F.trim(h[0])).alias("key"), F.translate(F.rtrim(h[1]), _JOIN, "\n").alias("value")
         ),
     )
 
 
 def _last_of_each(pairs: Column) -> Column:
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    return F.transform(
-        keys, lambda k: F.try_element_at(F.filter(pairs, lambda p: p["key"] == k), F.lit(-1))
+    """Pairs whose key does not come again later."""
+    keys = F.transform(pairs, lambda p: p["key"])
+    return let(
+        F.struct(pairs.alias("pairs"), F.reverse(keys).alias("keys"), F.size(pairs).alias("n")),
+        lambda s: F.filter(
+            s["pairs"], lambda p, i: F.array_position(s["keys"], p["key"]) == s["n"] - i
+        ),
     )
 
 
@@ -36,39 +42,42 @@ def snapshot_entries(body: Column) -> Column:
     in every section that does not set them, and the last of repeated options wins."""
     text = F.regexp_replace(F.regexp_replace(body, "\r", ""), r"\n[ \t]+(?=[^\s\[])", _JOIN)
     chunks = F.slice(F.split(text, r"(?m)^\["), F.lit(2), F.lit(2**30))
-    sections = F.transform(
+    parsed = F.transform(
         chunks,
         lambda c: F.struct(
-            F.regexp_extract(c, r"^([^\]]*)\]", 1).alias("section"),
+            F.substring_index(c, "]", 1).alias("section"),
             _options(F.split(c, "\n")).alias("pairs"),
         ),
     )
 
     def merged(found: Column) -> Column:
         def pairs_of(name: Column) -> Column:
+            return F.flatten(F.transform(F.filter(found, lambda s: s["section"] == name), lambda s: s["pairs"]))
+
+        def with_defaults(defaults: Column) -> Column:
+            names = F.array_distinct(F.transform(found, lambda s: s["section"]))
             return F.flatten(
-                F.transform(F.filter(found, lambda s: s["section"] == name), lambda s: s["pairs"])
+                F.transform(
+                    names,
+                    lambda n: F.transform(
+                        let(F.concat(defaults, pairs_of(n)), _last_of_each),
+                        lambda p: F.struct(n.alias("section"), p["key"].alias("key"), p["value"].alias("value")),
+                    ),
+                )
             )
 
-        names = F.array_distinct(F.transform(found, lambda s: s["section"]))
-        return F.flatten(
-            F.transform(
-                names,
-                lambda n: F.transform(
-                    _last_of_each(F.concat(pairs_of(F.lit(DEFAULT_SECTION)), pairs_of(n))),
-                    lambda p: F.struct(n.alias("section"), p["key"].alias("key"), p["value"].alias("value")),
-                ),
-            )
-        )
+        return let(pairs_of(F.lit(DEFAULT_SECTION)), with_defaults)
 
-    return let(sections, merged)
+    return let(parsed, merged)
 
 
 def read_snapshots(messages: DataFrame) -> DataFrame:
     """One row per option: ``newsgroup, article_number, msg_time, section, key, value``."""
-    return messages.select(
-        "newsgroup", "article_number", "msg_time", F.inline(snapshot_entries(F.col("body")))
+    # The outer form: for the plain one Spark adds a filter that parses the body once more.
+    rows = messages.select(
+        "newsgroup", "article_number", "msg_time", F.inline_outer(snapshot_entries(F.col("body")))
     )
+    return rows.filter(F.col("key").isNotNull())
 
 
 def snapshot_value(entries: Column, section: Column, key: Column) -> Column:
