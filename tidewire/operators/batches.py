@@ -169,7 +169,8 @@ def batch_feed(
     n_bytes, action, batch_id`` (null unless saved).
 
     ``has_files`` marks messages that have something to save. ``carried`` has
-    the open batch of each feed (``newsgroup, batch_id, n, last``) from an earlier run.
+    the open batch of each feed (``newsgroup, batch_id, n, last``) from an earlier run; then
+    the result also tells which batch is open after each message (``open_id, open_n, open_last``).
     """
     gap = duration_micros(options.gap or 0)
     span = duration_micros(options.span or 0)
@@ -177,13 +178,13 @@ def batch_feed(
     rows = feed_rows(messages, options, has_files)
 
     sequential = exact_only or carried is not None or (gap and (has_files is not None or (span and limit)))
-    if sequential:
-        out = _sequential(rows, options, gap, span, limit, carried, block_size)
-    else:
-        out = _closed_form(rows, options, gap, span, limit, block_size)
-    return out.select(
-        "newsgroup", "article_number", from_micros(F.col("t")).alias("msg_time"), "n_bytes", "action", "batch_id"
-    )
+    columns = ["newsgroup", "article_number", from_micros(F.col("t")).alias("msg_time"), "n_bytes", "action", "batch_id"]
+    if not sequential:
+        return _closed_form(rows, options, gap, span, limit, block_size).select(*columns)
+    out = _sequential(rows, options, gap, span, limit, carried, block_size)
+    if carried is not None:
+        columns += ["open_id", "open_n", "open_last"]
+    return out.select(*columns)
 
 
 def _closed_form(rows, options, gap, span, limit, block_size) -> DataFrame:
@@ -266,7 +267,8 @@ def _sequential(rows, options, gap, span, limit, carried, block_size) -> DataFra
     )
     ran = ordered.mapInPandas(
         lambda frames: machine.run(frames, gap, span, limit),
-        "newsgroup string, article_number bigint, t bigint, n_bytes bigint, action string, batch_id bigint, saved boolean",
+        "newsgroup string, article_number bigint, t bigint, n_bytes bigint, action string, batch_id bigint, "
+        "saved boolean, open_id bigint, open_n bigint, open_last bigint",
     )
     return ran.withColumn("batch_id", F.when(F.col("saved"), F.col("batch_id"))).drop("saved")
 

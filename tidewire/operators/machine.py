@@ -84,6 +84,9 @@ def run(frames: Iterator[pd.DataFrame], gap: int, span: int, limit: int) -> Iter
         carried_last = frame["carried_last"].to_numpy()
         actions = np.empty(size, dtype=object)
         batches = np.full(size, -1, dtype="int64")
+        open_id = np.zeros(size, dtype="int64")
+        open_n = np.zeros(size, dtype="int64")
+        open_last = np.zeros(size, dtype="int64")
         for i in range(size):
             key = (feeds[i], segments[i])
             if key != current:
@@ -96,6 +99,8 @@ def run(frames: Iterator[pd.DataFrame], gap: int, span: int, limit: int) -> Iter
             if actions[i] == SAVED:
                 batches[i] = state.batch_id
                 after(state, span, gap, limit)
+            if state.n > 0:
+                open_id[i], open_n[i], open_last[i] = state.batch_id, state.n, state.last
         yield pd.DataFrame(
             {
                 "newsgroup": feeds,
@@ -105,5 +110,8 @@ def run(frames: Iterator[pd.DataFrame], gap: int, span: int, limit: int) -> Iter
                 "action": actions,
                 "batch_id": pd.array(np.where(batches < 0, 0, batches), dtype="Int64"),
                 "saved": batches >= 0,
+                "open_id": open_id,
+                "open_n": open_n,
+                "open_last": open_last,
             }
         )
