@@ -76,7 +76,7 @@ def _(t):
     def start(stream):
         # no feed is quiet for a day of processing time, so each comes online once
         changes = stream_status(stream, "1 day").select("newsgroup", "status", "previous_status", "changed", "start_us")
-        return run_batches(changes, lambda df, epoch: table.write(df, epoch) and None, f"{root}/checkpoint")
+        return run_batches(changes, lambda df, epoch: table.write(df, epoch) and None, f"{root}/checkpoint", once=True)
 
     replay(t, t.feed.select("newsgroup", "msg_time"), thirds("msg_time"), start)
     return table.all().drop("epoch")

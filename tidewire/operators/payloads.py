@@ -119,12 +119,13 @@ def assemblies(parts: DataFrame, block_size: int = scan.BLOCK) -> DataFrame:
     return regular.select(broken.columns).unionByName(broken)
 
 
-def join_parts(parts: DataFrame, block_size: int = scan.BLOCK) -> DataFrame:
+def join_parts(parts: DataFrame, block_size: int = scan.BLOCK, placed: DataFrame | None = None) -> DataFrame:
     """Put split files together again: content of complete ones, and whether it is the original.
 
     ``parts`` has ``newsgroup, article_number, original, part_no, n_parts, checksum, content``.
-    A part that came twice before its file was complete counts with its later content."""
-    placed = assemblies(parts, block_size)
+    A part that came twice before its file was complete counts with its later content.
+    ``placed`` is the result of :func:`assemblies` where the caller has it already."""
+    placed = assemblies(parts, block_size) if placed is None else placed
     # The later of repeated parts, and how many different ones there are: still metadata.
     kept = placed.groupBy(*FILE, "assembly", "part_no").agg(
         F.max("article_number").alias("article_number"), F.max_by("n_parts", "article_number").alias("n_parts")

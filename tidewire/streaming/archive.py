@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.times import duration_micros
@@ -88,6 +88,7 @@ class StreamArchive:
 
 PARTS = "newsgroup string, original string, article_number bigint, part_no int, n_parts int, checksum string, content binary"
 WAITING = "newsgroup string, original string, article_number bigint, part_no int, n_parts int, arrived_epoch bigint, arrived double"
+PLACED = f"{WAITING}, assembly bigint, complete boolean, late boolean"
 FILES = (
     "newsgroup string, filename string, article_number bigint, n_parts int, n_received bigint, checksum string, "
     "content binary, status string"
@@ -112,6 +113,7 @@ class StreamJoin:
         self.timeout, self.now, self.block_size = timeout, now, block_size
         self.parts = EpochTable(spark, f"{root}/parts", PARTS)
         self.waiting = EpochTable(spark, f"{root}/waiting", WAITING)
+        self.placed = EpochTable(spark, f"{root}/placed", PLACED)
         self.files = EpochTable(spark, f"{root}/files", FILES)
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
@@ -122,26 +124,28 @@ class StreamJoin:
         placed = assemblies(known, self.block_size).join(
             known.select("newsgroup", "article_number", "arrived_epoch", "arrived"), ["newsgroup", "article_number"]
         )
-        group = [*FILE, "assembly"]
-        judged = placed.groupBy(*group).agg(
-            F.count_distinct("part_no").alias("n_received"),
-            F.max_by("n_parts", "article_number").alias("n_total"),
-            F.max("arrived").alias("newest"),
-        )
+        group = Window.partitionBy(*FILE, "assembly")
+        received = F.size(F.collect_set("part_no").over(group))
+        total = F.max_by("n_parts", "article_number").over(group)
         late = F.lit(False)
         if self.timeout is not None:
-            late = (F.lit(now) - F.col("newest")) * 1e6 >= duration_micros(self.timeout)
-        complete = F.col("n_received") == F.col("n_total")
-        judged = judged.select(*group, complete.alias("complete"), (late & ~complete).alias("late"))
-        marked = placed.join(judged, group)
+            late = (F.lit(now) - F.max("arrived").over(group)) * 1e6 >= duration_micros(self.timeout)
+        complete = received == total
         columns = [*FILE, "article_number", "part_no", "n_parts", "arrived_epoch", "arrived"]
-        self.waiting.write(marked.filter(~F.col("complete") & ~F.col("late")).select(*columns), epoch)
-
-        # The folders a finished file needs are pruned by the epochs its parts came in.
-        ready = marked.filter("complete or late").select("newsgroup", "article_number", F.col("arrived_epoch").alias("epoch"))
-        contents = self.parts.all().join(ready, ["newsgroup", "article_number", "epoch"], "left_semi").drop("epoch")
-        joined = join_parts(contents, self.block_size)
-        self.files.write(joined.select("newsgroup", "filename", "article_number", "n_parts", "n_received", "checksum", "content", "status"), epoch)
+        # Narrow rows, stored once; everything below starts from them.
+        judged = self.placed.write(
+            placed.select(*columns, "assembly", complete.alias("complete"), (late & ~complete).alias("late")), epoch
+        )
+        self.waiting.write(judged.filter(~F.col("complete") & ~F.col("late")).select(*columns), epoch)
+
+        ready = judged.filter("complete or late")
+        wanted = ready.select("newsgroup", "article_number", F.col("arrived_epoch").alias("epoch"))
+        contents = self.parts.all().join(wanted, ["newsgroup", "article_number", "epoch"], "left_semi").drop("epoch")
+        joined = join_parts(contents, placed=ready.select(*FILE, "assembly", "article_number", "part_no", "n_parts"))
+        self.files.write(
+            joined.select("newsgroup", "filename", "article_number", "n_parts", "n_received", "checksum", "content", "status"),
+            epoch,
+        )
 
     def completed(self) -> DataFrame:
         return self.files.all().filter(F.col("status") != INCOMPLETE).drop("epoch")

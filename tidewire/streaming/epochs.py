@@ -39,9 +39,18 @@ class EpochTable:
 
 
 def run_batches(
-    stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True, every: str | None = None
+    stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, once: bool = False
 ) -> StreamingQuery:
-    """Start a query that hands each micro-batch to ``apply``."""
+    """Start a query that hands each micro-batch to ``apply``: every so often, in one single
+    micro-batch, or (the default) until all there is now has been read.
+
+    A query with processing-time timeouts always has another micro-batch to run, so the
+    default never ends for it; give it ``every`` or ``once``."""
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every or "60 seconds")
+    if every:
+        writer = writer.trigger(processingTime=every)
+    elif once:
+        writer = writer.trigger(once=True)
+    else:
+        writer = writer.trigger(availableNow=True)
     return writer.start()

@@ -16,6 +16,10 @@ from tidewire.plans import scan
 from tidewire.streaming.epochs import EpochTable
 
 STATES = "member bigint, seq bigint, ts timestamp_ntz, state string, since timestamp_ntz"
+TIMED = (
+    "member bigint, seq bigint, ts timestamp_ntz, state string, carried boolean, opens boolean, before_state string, "
+    "start timestamp_ntz, start_before timestamp_ntz"
+)
 CHANGES = (
     "member bigint, seq bigint, ts timestamp_ntz, state string, previous_state string, "
     "previous_start timestamp_ntz, elapsed double"
@@ -30,6 +34,7 @@ class StreamStates:
 
     def __init__(self, spark: SparkSession, root: str, block_size: int = scan.BLOCK):
         self.block_size = block_size
+        self.timed = EpochTable(spark, f"{root}/timed", TIMED)
         self.states = EpochTable(spark, f"{root}/states", STATES)
         self.changes = EpochTable(spark, f"{root}/changes", CHANGES)
 
@@ -48,14 +53,21 @@ class StreamStates:
             {"start": scan.last_known(F.col("opened")), "start_before": scan.last_known(F.col("opened"), inclusive=False)},
             self.block_size,
         )
-        changed = timed.filter(~F.col("carried") & (F.col("run") == F.col("seq")))
+        # Stored once; the changes and the states to carry both start from here.
+        timed = self.timed.write(
+            timed.select(
+                "member", "seq", "ts", "state", "carried", (F.col("run") == F.col("seq")).alias("opens"),
+                F.col("before")["state"].alias("before_state"), "start", "start_before",
+            ),
+            epoch,
+        )
         # The first state of a member ends an unknown one that took no time.
+        changed = timed.filter(F.col("opens") & ~F.col("carried"))
+        began = F.coalesce("start_before", "ts")
         self.changes.write(
             changed.select(
-                "member", "seq", "ts", "state",
-                F.coalesce(F.col("before")["state"], F.lit("unknown")).alias("previous_state"),
-                F.coalesce("start_before", "ts").alias("previous_start"),
-                elapsed(F.coalesce("start_before", "ts"), F.col("ts")).alias("elapsed"),
+                "member", "seq", "ts", "state", F.coalesce("before_state", F.lit("unknown")).alias("previous_state"),
+                began.alias("previous_start"), elapsed(began, F.col("ts")).alias("elapsed"),
             ).filter(F.col("state") != F.col("previous_state")),
             epoch,
         )
