@@ -29,12 +29,13 @@ closed AS (
 
 
 def gap_batches(t):
-    return B.batch_by_gap(t.feed.select("newsgroup", "article_number", "msg_time", "n_bytes"), GAP, BLOCK)
+    feed = t.feed.select("newsgroup", "article_number", "msg_time", "n_bytes")
+    return B.batch_by_gap(feed, GAP, BLOCK, narrow=True)
 
 
 @query("f1_batch_by_gap", f"WITH {GAP_BATCHES} SELECT newsgroup, article_number, msg_time, batch_id FROM batched")
 def _(t):
-    return gap_batches(t).drop("n_bytes")
+    return B.batch_by_gap(t.feed.select("newsgroup", "article_number", "msg_time"), GAP, BLOCK, narrow=True)
 
 
 @query(
@@ -47,7 +48,8 @@ def _(t):
        FROM flagged""",
 )
 def _(t):
-    return B.batch_by_gap(t.late_feed.select("newsgroup", "article_number", "msg_time"), GAP, BLOCK * 100)
+    feed = t.late_feed.select("newsgroup", "article_number", "msg_time")
+    return B.batch_by_gap(feed, GAP, BLOCK * 100, narrow=True)
 
 
 @query(
@@ -189,13 +191,14 @@ def _(t):
         FROM closed""",
 )
 def _(t):
-    return B.batch_report(gap_batches(t), "Time gap")
+    feed = t.feed.select("newsgroup", "article_number", "msg_time", "n_bytes")
+    return B.batch_report(B.batch_by_gap(feed, GAP, BLOCK, mark_newest=True, narrow=True), "Time gap")
 
 
 def batched_files(t):
     """Batches of the feed, each message archived under its site."""
     feed = t.feed.selectExpr("newsgroup", "article_number", "msg_time", "n_bytes", "concat(site, '.dat') AS dest")
-    return B.batch_by_gap(feed, GAP, BLOCK)
+    return B.batch_by_gap(feed, GAP, BLOCK, mark_newest=True, narrow=True)
 
 
 _STATS_SQL = """

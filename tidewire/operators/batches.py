@@ -23,16 +23,27 @@ REPORT_TIME = "%c UTC +0000"
 RULE = "_" * 75
 
 
-def batch_by_gap(messages: DataFrame, gap: str | float, block_size: int = scan.BLOCK) -> DataFrame:
-    """A message at least ``gap`` later than the one before it opens a batch; late ones never do."""
+def batch_by_gap(
+    messages: DataFrame,
+    gap: str | float,
+    block_size: int = scan.BLOCK,
+    mark_newest: bool = False,
+    narrow: bool = False,
+) -> DataFrame:
+    """A message at least ``gap`` later than the one before it opens a batch; late ones never do.
+
+    ``mark_newest`` adds ``is_newest``, true on the last message of a feed, which tells the
+    reports below which batch is open without another look at the feed. ``narrow`` as in scans."""
     limit = duration_micros(gap)
     timed = messages.withColumn("__t", micros(F.col("msg_time")))
     cut = scan.islands(
         timed, FEED, "article_number", ["__t"],
         lambda before, row: row["__t"] - before["__t"] >= F.lit(limit),
-        block_size, previous="__prev", island="batch_id",
+        block_size, previous="__prev", island="batch_id", following="__next" if mark_newest else None, narrow=narrow,
     )
-    return cut.drop("__t", "__prev")
+    if mark_newest:
+        cut = cut.withColumn("is_newest", F.col("__next").isNull())
+    return cut.drop("__t", "__prev", "__next")
 
 
 def span_block(ts: Column, span: str | float) -> Column:
@@ -86,16 +97,10 @@ def close_on_timeout(
     """Batches that close when nothing arrives for ``timeout``; one row per batch.
 
     The newest batch of a feed is closed as well once ``now`` is that far on."""
-    batched = batch_by_gap(messages.withColumn("msg_time", F.col(arrival)), timeout, block_size)
-    batches = batch_table(batched)
-    newest = batched.groupBy("newsgroup").agg(F.max("batch_id").alias("__newest"))
+    rows = messages.select("newsgroup", "article_number", F.col(arrival).alias("msg_time"), "n_bytes")
+    batches = batch_table(batch_by_gap(rows, timeout, block_size, mark_newest=True, narrow=True))
     idle = micros(now) - micros(F.col("last_time")) >= F.lit(duration_micros(timeout))
-    closed = (F.col("batch_id") != F.col("__newest")) | idle
-    return (
-        batches.join(newest, "newsgroup")
-        .withColumn("reason", F.when(closed, machine.TIMEOUT))
-        .drop("__newest")
-    )
+    return batches.withColumn("reason", F.when(~F.col("is_open") | idle, machine.TIMEOUT)).drop("is_open")
 
 
 @dataclass(frozen=True)
@@ -153,7 +158,7 @@ def segments(rows: DataFrame, options: BatchOptions, block_size: int = scan.BLOC
         return cut
 
     return scan.islands(
-        rows, FEED, "article_number", values, starts, block_size, previous="before", island="segment"
+        rows, FEED, "article_number", values, starts, block_size, previous="before", island="segment", narrow=True
     )
 
 
@@ -200,7 +205,7 @@ def _closed_form(rows, options, gap, span, limit, block_size) -> DataFrame:
             return cut
 
         cut = scan.islands(
-            rows, FEED, "article_number", ["t", "in_range"], starts, block_size, previous="before", island="run"
+            rows, FEED, "article_number", ["t", "in_range"], starts, block_size, previous="before", island="run", narrow=True
         )
     else:
         cut = rows.withColumn("run", F.lit(0).cast("bigint"))
@@ -277,12 +282,15 @@ def _sequential(rows, options, gap, span, limit, carried, block_size) -> DataFra
 
 
 def batch_table(batched: DataFrame) -> DataFrame:
-    """One row per batch: first and last message time, messages, bytes."""
+    """One row per batch: first and last message time, messages, bytes; ``is_open`` where
+    the newest messages are marked."""
+    open_batch = [F.bool_or("is_newest").alias("is_open")] if "is_newest" in batched.columns else []
     return batched.groupBy("newsgroup", "batch_id").agg(
         F.min_by("msg_time", "article_number").alias("start_time"),
         F.max_by("msg_time", "article_number").alias("last_time"),
         F.count("*").alias("n_msgs"),
         F.sum("n_bytes").alias("n_bytes"),
+        *open_batch,
     )
 
 
@@ -292,8 +300,12 @@ def file_stats(files: DataFrame, by: tuple[str, ...] = ("newsgroup", "batch_id",
 
 
 def batch_report(batched: DataFrame, reason: str) -> DataFrame:
-    """Per batch its figures and why it was closed; the newest batch of a feed is still open."""
+    """Per batch its figures and why it was closed; the newest batch of a feed is still open.
+
+    With marked newest messages one pass does; else the newest batch of each feed is joined."""
     batches = batch_table(batched)
+    if "is_open" in batches.columns:
+        return batches.withColumn("reason", F.when(~F.col("is_open"), reason)).drop("is_open")
     newest = batched.groupBy("newsgroup").agg(F.max("batch_id").alias("__newest"))
     return (
         batches.join(newest, "newsgroup")

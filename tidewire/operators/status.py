@@ -150,7 +150,7 @@ def state_intervals(observations: DataFrame, block_size: int = scan.BLOCK) -> Da
         observations.select("member", "seq", "ts", "state"),
         ["member"], "seq", ["ts", "state"],
         lambda before, row: before["state"] != row["state"],
-        block_size, previous="before", island="run", following="after",
+        block_size, previous="before", island="run", following="after", narrow=True,
     )
     ends = F.coalesce(F.col("after")["ts"], F.col("ts"))
     intervals = runs.groupBy("member", "run").agg(

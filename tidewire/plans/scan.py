@@ -7,7 +7,7 @@ microseconds) is cut into blocks of ``block_size``; windows run inside
 (feed, block), a one-row-per-block summary is scanned over the blocks of a
 feed, and what a block inherits from the blocks before it is joined back.
 
-The rows are shuffled once, on (keys, block). The summary has at most one row
+The rows are shuffled on (keys, block). The summary has at most one row
 per block; Spark broadcasts it below its size threshold and sort-merge joins
 it on the partitioning the rows already have above it.
 """
@@ -129,6 +129,7 @@ def islands(
     previous: str = "previous",
     island: str = "island",
     following: str | None = None,
+    narrow: bool = False,
 ) -> DataFrame:
     """Cut each key's rows into runs.
 
@@ -136,12 +137,22 @@ def islands(
     ``values`` as structs and says whether the row opens a new run; the first
     row of a key always does. Adds the previous row's values, the run id (the
     order value of its first row) and, on request, the following row's values.
+
+    ``narrow`` says that all columns are small and the caller uses them all; then the rows
+    and the block summaries come from one and the same shuffle.
     """
-    rows = _with_block(df, [order], block_size).withColumn("__v", F.struct(*values))
-    key_block = [*keys, _B]
+    # Copies of the keys that are never null: with them the join below puts no filter on one
+    # side only, so that both sides are one and the same shuffle, which Spark runs once.
+    names = [f"__k{i}" for i in range(len(keys))]
+    copies = [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(n) for k, n in zip(keys, names)]
+    block = F.coalesce(F.floor(F.col(order) / F.lit(block_size)), F.lit(0)).alias(_B)
+    rows = df.select("*", *copies, block, F.struct(*values).alias("__v"))
+    kept = [c for c in df.columns if not c.startswith("__")]
+    first = F.struct("__v", F.struct(*kept).alias("__row")) if narrow else F.struct("__v")
+    key_block = [*names, _B]
     w = Window.partitionBy(*key_block).orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = Window.partitionBy(*keys).orderBy(_B)
+    blocks = Window.partitionBy(*names).orderBy(_B)
     blocks_before = blocks.rowsBetween(Window.unboundedPreceding, -1)
 
     lagged = F.lag("__v").over(w)
@@ -152,7 +163,7 @@ def islands(
     rows = rows.withColumn("__s", F.when(opens, F.col(order)))
 
     summary = rows.groupBy(*key_block).agg(
-        F.min_by("__v", order).alias("__first"),
+        F.min_by(first, order)["__v"].alias("__first"),  # the whole row: same columns on both sides
         F.max_by("__v", order).alias("__last"),
         F.min(order).alias("__first_at"),
         F.max("__s").alias("__inner"),
@@ -172,7 +183,7 @@ def islands(
         F.coalesce(F.col("__head"), F.last("__tail", ignorenulls=True).over(blocks_before)).alias("__open"),
     )
     joined = _attach(
-        rows.withColumn("__run", F.last("__s", ignorenulls=True).over(upto)), summary, keys
+        rows.withColumn("__run", F.last("__s", ignorenulls=True).over(upto)), summary, names
     )
     kept = [c for c in df.columns if c not in (previous, island, following)]
     out = [
