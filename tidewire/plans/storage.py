@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a fresh one is set only where none is."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="tidewire-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewire-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
