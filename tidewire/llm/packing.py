@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.tokens import Encoder, public_path
+from tidewire.llm.tokens import encoder, public_path
 from tidewire.plans.storage import stage
 
 FAN_IN = 16
@@ -71,14 +71,14 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer: str) ->
     """The pieces of all documents, each in a sequence of its partition. One narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), end_id.to_bytes(4, "little")
+        coder, end = encoder(tokenizer), end_id.to_bytes(4, "little")
         ids, rows, starts, sizes, sums = [], [], [], [], []
         count = 0
         for batch in batches:
             texts = batch.column("text")
             ids.append(batch.column("doc_id"))
             for at in range(0, len(texts), 64):
-                for coded in encoder.encode(texts.slice(at, 64).to_pylist()):
+                for coded in coder.encode(texts.slice(at, 64).to_pylist()):
                     coded += end
                     for first in range(0, len(coded), 4 * capacity):
                         part = coded[first : first + 4 * capacity]
