@@ -89,5 +89,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def told(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("entities", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.PATTERNS]
-    return found.select("doc_id", *counts, F.sha2(told(F.col("entities")), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+    def count(kind):
+        return F.size(F.filter("entities", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.PATTERNS), F.sha2(told(F.col("entities")), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
