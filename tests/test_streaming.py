@@ -31,7 +31,7 @@ def test_archive_timeout(spark):
         rows = [("a", epoch * 2 + i, start + timedelta(seconds=epoch * 2 + i), 1, True) for i in (1, 2)]
         archive.apply(spark.createDataFrame(rows, SCHEMA), epoch)
     assert {r.batch_id for r in archive.batches().collect()} == {1, 3}
-    assert archive.timed_out(1).count() == 0
+    assert [(r.batch_id, r.n_msgs) for r in archive.timed_out(1).collect()] == [(1, 2)]
 
 
 def test_join_timeout_reports_incomplete(spark):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewire.catalog.views import SQL_VIEWS, Tables
 from tidewire.session import prepare
 
-FAMILIES = ["batching", "selection", "names", "status", "series", "joins", "payloads", "intake", "streams"]
+FAMILIES = ["batching", "selection", "names", "status", "series", "payloads", "intake", "streams"]
 
 
 @dataclass(frozen=True)
@@ -62,6 +61,5 @@ def with_views(sql: str) -> str:
 
 def registry() -> dict[str, Query]:
     for family in FAMILIES:
-        if importlib.util.find_spec(f"tidewire.catalog.{family}"):
-            importlib.import_module(f"tidewire.catalog.{family}")
+        importlib.import_module(f"tidewire.catalog.{family}")
     return dict(_REGISTRY)

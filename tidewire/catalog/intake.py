@@ -154,15 +154,16 @@ def _(t):
 
 @query(
     "a9_spool_activity",
-    """WITH parts AS (SELECT *, unnest(range((n_bytes + 1999) // 2000)) AS part_no, (n_bytes + 1999) // 2000 AS n_parts FROM files WHERE n_bytes > 2000)
-       SELECT newsgroup, article_number * 100000 + part_no AS article_number, filename, concat(part_no, '/', n_parts) AS part,
-              concat(', ', filename, ', ', part_no, '/', n_parts, ')') AS details, true AS sized FROM parts""",
+    """WITH parts AS (SELECT *, unnest(range(greatest(1, (n_bytes + 1999) // 2000))) AS part_no, greatest(1, (n_bytes + 1999) // 2000) AS n_parts FROM files)
+       SELECT newsgroup, article_number * 100000 + part_no AS article_number, CASE WHEN n_parts > 1 THEN filename END AS filename,
+              CASE WHEN n_parts > 1 THEN concat(part_no, '/', n_parts) END AS part,
+              CASE WHEN n_parts > 1 THEN concat(', ', filename, ', ', part_no, '/', n_parts, ')') ELSE ')' END AS details, true AS sized FROM parts""",
 )
 def _(t):
     from tidewire.operators.payloads import part_headers
 
     root = shared_path(t.spark, "spool")
-    parts = split_messages(t).filter("n_parts > 1")
+    parts = split_messages(t)
     items = parts.select("article_number", F.col("newsgroup").alias("group"), part_headers(parts).alias("h"), P.one_part(F.col("filename"), F.col("content")).alias("parts"))
     written(P.write_spool(P.post(items, F.col("group"), extra=F.col("h")), root))
     activity = S.spool_activity(S.read_spool(t.spark, root))
@@ -175,10 +176,10 @@ def _(t):
 @query(
     "b1_post",
     """SELECT 'transport.out' AS newsgroup, 1000 + row_number() OVER (ORDER BY event_id) AS article_number, concat(CAST(msg_time AS VARCHAR), '+00:00') AS date,
-              'override' AS subject, site, props AS body FROM feed WHERE site <> 'site2'""",
+              'override' AS subject, site, props AS body FROM feed""",
 )
 def _(t):
-    texts = t.feed.filter("site <> 'site2'").select("event_id", "msg_time", "site", F.col("props").alias("body"))
+    texts = t.feed.select("event_id", "msg_time", "site", F.col("props").alias("body"))
     extra = F.create_map(F.lit("subject"), F.lit("override"), F.lit("x-site"), F.col("site"))
     posted = P.post(texts, "Transport.OUT", {"Subject": "default"}, date=F.col("msg_time"), extra=extra)
     marks = t.spark.createDataFrame([("transport.out", 1000)], "newsgroup string, high bigint")

@@ -238,29 +238,30 @@ def _(t):
 
 # ---------------------------------------------------------------- rosters
 
-_SEEN = "SELECT DISTINCT user_id AS member FROM events WHERE ts {0}"
+# the members are the users of the feeds; those seen are the customers with orders
+_ROSTER, _SEEN = "SELECT DISTINCT user_id AS member FROM events", "SELECT DISTINCT o_custkey AS member FROM orders"
 
 
-def seen(t, condition):
-    return t.events.filter(f"ts {condition}").selectExpr("user_id AS member").distinct()
+def roster(t):
+    return t.events.select(F.col("user_id").alias("member")).distinct()
 
 
-_EARLY, _LATE = "< TIMESTAMP '2024-01-02 12:00:00'", ">= TIMESTAMP '2024-01-29 18:00:00'"
-_NTZ_EARLY, _NTZ_LATE = _EARLY.replace("TIMESTAMP", "TIMESTAMP_NTZ"), _LATE.replace("TIMESTAMP", "TIMESTAMP_NTZ")
+def seen(t):
+    return t.table("orders").select(F.col("o_custkey").alias("member")).distinct()
 
 
-@query("e2_missing_members", f"{_SEEN.format(_EARLY)} EXCEPT {_SEEN.format(_LATE)}")
+@query("e2_missing_members", f"{_ROSTER} EXCEPT {_SEEN}")
 def _(t):
-    return E.missing_members(seen(t, _NTZ_EARLY), seen(t, _NTZ_LATE), ["member"])
+    return E.missing_members(roster(t), seen(t), ["member"])
 
 
 @query(
     "e3_roster_diff",
     f"""SELECT coalesce(o.member, n.member) AS member, CASE WHEN n.member IS NULL THEN 'stale' WHEN o.member IS NULL THEN 'new' ELSE 'existing' END AS status
-        FROM ({_SEEN.format(_EARLY)}) o FULL JOIN ({_SEEN.format(_LATE)}) n ON o.member = n.member""",
+        FROM ({_ROSTER}) o FULL JOIN ({_SEEN}) n ON o.member = n.member""",
 )
 def _(t):
-    return E.roster_diff(seen(t, _NTZ_EARLY), seen(t, _NTZ_LATE), ["member"])
+    return E.roster_diff(roster(t), seen(t), ["member"])
 
 
 @query(

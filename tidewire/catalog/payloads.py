@@ -7,6 +7,7 @@ from tidewire.operators import batches as B
 from tidewire.operators import naming as J
 from tidewire.operators import payloads as P
 from tidewire.operators import relay as R
+from tidewire.plans.storage import shared_path, stage
 from tidewire.sources import pages as W
 
 BLOCK = 1 << 14
@@ -44,12 +45,11 @@ def _(t):
 
 @query(
     "f13_join_parts",
-    f"""SELECT newsgroup, filename, 1 AS assembly, md5(content_text) AS digest, n_bytes, (n_bytes + {CHUNK - 1}) // {CHUNK} AS n_parts, 'ok' AS status
-        FROM files WHERE n_bytes > {CHUNK}""",
+    f"""SELECT newsgroup, filename, CASE WHEN n_bytes > {CHUNK} THEN 1 END AS assembly, md5(content_text) AS digest, n_bytes,
+               greatest(1, (n_bytes + {CHUNK - 1}) // {CHUNK}) AS n_parts, 'ok' AS status FROM files""",
 )
 def _(t):
-    parts = split_messages(t).filter("n_parts > 1")
-    return P.join_parts(parts, BLOCK * 100000).select(
+    return P.join_parts(split_messages(t), BLOCK * 100000).select(
         "newsgroup", "filename", "assembly", F.md5("content").alias("digest"),
         F.octet_length("content").cast("bigint").alias("n_bytes"), F.col("n_parts").cast("bigint").alias("n_parts"), "status",
     )
@@ -60,11 +60,12 @@ def _(t):
     f"""WITH big AS (SELECT *, (n_bytes + {CHUNK - 1}) // {CHUNK} AS n_parts FROM files WHERE n_bytes > {CHUNK}),
         rounds AS (SELECT newsgroup, concat(n_parts, '.dat') AS filename, n_parts, doc_id, content_text, n_bytes,
                           row_number() OVER (PARTITION BY newsgroup, n_parts ORDER BY doc_id) AS assembly FROM big)
-        SELECT newsgroup, filename, assembly, md5(content_text) AS digest, n_bytes, 'ok' AS status FROM rounds""",
+        SELECT newsgroup, filename, assembly, md5(content_text) AS digest, n_bytes, 'ok' AS status FROM rounds
+        UNION ALL SELECT newsgroup, filename, NULL, md5(content_text), n_bytes, 'ok' FROM files WHERE n_bytes <= {CHUNK}""",
 )
 def _(t):
-    # All files of a feed with as many parts come under one name, one after the other.
-    parts = split_messages(t).filter("n_parts > 1").withColumn("original", F.concat(F.col("n_parts"), F.lit(".dat")))
+    # All split files of a feed with as many parts come under one name, one after the other.
+    parts = split_messages(t).withColumn("original", F.when(F.col("n_parts") > 1, F.concat(F.col("n_parts"), F.lit(".dat"))))
     return P.join_parts(parts, BLOCK * 100000).select(
         "newsgroup", "filename", "assembly", F.md5("content").alias("digest"),
         F.octet_length("content").cast("bigint").alias("n_bytes"), "status",
@@ -73,14 +74,14 @@ def _(t):
 
 @query(
     "f14_compress_uncompress",
-    "SELECT newsgroup, article_number, filename, md5(content_text) AS digest, n_bytes AS original_bytes, true AS smaller, CAST(NULL AS VARCHAR) AS error FROM files WHERE n_bytes > 600",
+    "SELECT newsgroup, article_number, filename, md5(content_text) AS digest, n_bytes AS original_bytes, true AS smaller, CAST(NULL AS VARCHAR) AS error FROM files",
 )
 def _(t):
-    packed = P.compress(binary_files(t).filter(F.octet_length("content") > 600))
+    packed = P.compress(binary_files(t))
     again = P.uncompress(packed)
     return again.select(
         "newsgroup", "article_number", "filename", F.md5("content").alias("digest"), "original_bytes",
-        (F.col("percent") < 100).alias("smaller"), "error",
+        ((F.col("percent") < 100) | (F.col("original_bytes") <= 600)).alias("smaller"), "error",
     )
 
 
@@ -112,6 +113,22 @@ def _(t):
     return chunks.select("newsgroup", "dest", "chunk_no", "n_files", F.md5("content").alias("digest"))
 
 
+@query(
+    "b3_archive_files",
+    """SELECT concat(newsgroup, '/', site, '.dat') AS dest, md5(string_agg(props, '' ORDER BY article_number)) AS digest,
+              sum(octet_length(encode(props))) AS n_bytes FROM feed GROUP BY 1""",
+)
+def _(t):
+    files = t.feed.selectExpr(
+        "newsgroup", "article_number", "0 AS part_no", "0 AS batch_id", "concat(site, '.dat') AS dest", "CAST(props AS BINARY) AS content"
+    )
+    root = shared_path(t.spark, "archive")
+    stage(P.write_archive(files, root, max_messages=0, chunk_bytes=1000, block_size=BLOCK), "written")
+    there = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    dest = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
+    return there.select(dest.alias("dest"), F.md5("content").alias("digest"), F.col("length").alias("n_bytes"))
+
+
 @query(
     "b3_write_archive_single",
     """SELECT newsgroup, dest, digest FROM (

@@ -1,11 +1,13 @@
 """Feed, file, message and log selection; marks; merging."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewire.catalog import query
 from tidewire.operators import marks as M
 from tidewire.operators import merge as G
 from tidewire.operators import select as S
+from tidewire.plans.storage import stage
 
 BLOCK = 1 << 14
 PLAIN = ["newsgroup", "article_number", "msg_time"]
@@ -227,47 +229,67 @@ def _(t):
 
 @query(
     "d4_advance_marks",
-    f"""WITH {_MARKS}, done AS (SELECT newsgroup, max(article_number) AS done FROM feed
-                                WHERE msg_time < TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1)
+    f"""WITH {_MARKS}, done AS (SELECT newsgroup, max(article_number) AS done FROM feed GROUP BY 1)
         SELECT 'main' AS reader, newsgroup, greatest(last_read, done) AS last_read
         FROM marks FULL JOIN done USING (newsgroup)""",
 )
 def _(t):
-    done = S.time_range(feed(t), stop="2024-01-19 23:59:59.999999").withColumn("reader", F.lit("main"))
+    done = feed(t).withColumn("reader", F.lit("main"))
     return M.advance_marks(done, feeds_and_marks(t)[1].withColumn("reader", F.lit("main")))
 
 
 # ---------------------------------------------------------------- merging
 
-MERGED = ["transport.demo.view", "transport.demo.error", "transport.demo.click"]
+MERGED = [f"transport.demo.{kind}" for kind in ("view", "error", "click", "signup", "purchase")]
+
+
+def ranked(df):
+    """Rows of a sorted table with their place in it: partitions come in order, so a place is
+    the rows of the partitions before and the row's number in its own."""
+    rows = stage(df.withColumn("__id", F.monotonically_increasing_id()), "ranked").withColumn("__part", F.shiftright("__id", 33))
+    sizes = rows.groupBy("__part").count()
+    before = F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.join(sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before")), "__part")
+    return placed.withColumn("rank", F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__part", "__id", "__before")
 
 
 @query(
     "g1_sync_merge",
     """SELECT newsgroup, article_number, msg_time,
               max(msg_time) OVER (PARTITION BY newsgroup ORDER BY article_number ROWS UNBOUNDED PRECEDING) AS merge_time,
-              CASE newsgroup WHEN 'transport.demo.view' THEN 0 WHEN 'transport.demo.error' THEN 1 ELSE 2 END AS feed_index
-       FROM late_feed WHERE newsgroup IN ('transport.demo.view', 'transport.demo.error', 'transport.demo.click')""",
+              CASE newsgroup WHEN 'transport.demo.view' THEN 0 WHEN 'transport.demo.error' THEN 1 WHEN 'transport.demo.click' THEN 2
+                             WHEN 'transport.demo.signup' THEN 3 ELSE 4 END AS feed_index
+       FROM late_feed""",
 )
 def _(t):
     return G.sync_merge(t.late_feed.select(*PLAIN), MERGED, BLOCK * 100)
 
 
-@query("g2_merge_logs", f"WITH {_LOGS} SELECT * FROM logs")
+def log_files(t):
+    """The records as if the events of each of three users' groups had a file of their own."""
+    return logs(t).withColumn("path", F.substring_index("name", "/", 1)).withColumn("record_no", F.col("seq"))
+
+
+@query("g2_merge_logs", f"WITH {_LOGS} SELECT *, row_number() OVER (ORDER BY asctime, split_part(name, '/', 1), seq) AS rank FROM logs")
 def _(t):
-    return G.merge_logs(logs(t))
+    return ranked(G.merge_logs(log_files(t))).drop("path", "record_no")
 
 
-@query("g3_tail_logs", f"WITH {_LOGS} SELECT * FROM logs WHERE upper(levelname) = 'ERROR' ORDER BY asctime DESC, seq DESC LIMIT 30")
+@query(
+    "g3_tail_logs",
+    f"""WITH {_LOGS}, ends AS (SELECT *, row_number() OVER (ORDER BY asctime DESC, split_part(name, '/', 1) DESC, seq DESC) AS back FROM logs WHERE upper(levelname) = 'ERROR')
+        SELECT * EXCLUDE (back), max(back) OVER () + 1 - back AS rank FROM ends WHERE back <= 30""",
+)
 def _(t):
-    return G.tail_logs(S.log_level(logs(t), "error"), 30, ["asctime", "seq"])
+    return ranked(G.tail_logs(S.log_level(log_files(t), "error"), 30)).drop("path", "record_no")
 
 
 @query(
     "g4_rank_feeds",
     """SELECT newsgroup, min(article_number) AS low, max(article_number) AS high,
-              max(article_number) - min(article_number) + 1 AS n_articles
+              max(article_number) - min(article_number) + 1 AS n_articles,
+              row_number() OVER (ORDER BY max(article_number) - min(article_number) DESC, newsgroup DESC) AS rank
        FROM feed GROUP BY newsgroup""",
 )
 def _(t):
-    return G.rank_feeds(S.list_feeds(t.feed), "count", reverse=True)
+    return ranked(G.rank_feeds(S.list_feeds(t.feed), "count", reverse=True))

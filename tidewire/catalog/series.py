@@ -85,7 +85,7 @@ def _(t):
 
 
 _KNOWN = """
-linked AS (SELECT *, epoch_us(ts) AS until, lag(epoch_us(ts)) OVER (PARTITION BY plotgroup, variable ORDER BY seq) AS since FROM {source}),
+linked AS (SELECT *, epoch_us(ts) AS until, max(epoch_us(ts)) OVER (PARTITION BY plotgroup, variable ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since FROM {source}),
 known AS (SELECT * FROM linked WHERE until > since AND until - since <= {timeout}),
 pieces AS (SELECT *, unnest(generate_series(CAST(floor(since / {step}) AS BIGINT), CAST(floor((until - 1) / {step}) AS BIGINT))) AS step_no FROM known),
 cut AS (SELECT *, least(until, (step_no + 1) * {step}) - greatest(since, step_no * {step}) AS covered FROM pieces)"""
@@ -111,6 +111,16 @@ def _(t):
     return rounded(I.resample(t.samples, "1h", "AVERAGE", "6h", block_size=BLOCK))
 
 
+_SHUFFLED = "(SELECT plotgroup, variable, seq, CASE WHEN seq % 5 = 0 THEN ts - INTERVAL 3 HOUR ELSE ts END AS ts, value FROM samples)"
+_R_BACK, _R_BACK_OUT = _resample_sql(_SHUFFLED, HOUR, 6 * HOUR)
+
+
+@query("i4_resample_out_of_order", f"WITH {_R_BACK} {_R_BACK_OUT}")
+def _(t):
+    moved = t.samples.withColumn("ts", F.expr("CASE WHEN seq % 5 = 0 THEN ts - INTERVAL 3 HOURS ELSE ts END"))
+    return rounded(I.resample(moved, "1h", "AVERAGE", "6h", block_size=BLOCK))
+
+
 _R_MAX, _R_MAX_OUT = _resample_sql("samples", 4 * HOUR, 6 * HOUR, "max(value)")
 
 
@@ -131,10 +141,11 @@ def _(t):
     "i5_mark_gaps",
     """WITH linked AS (SELECT *, lag(ts) OVER (PARTITION BY plotgroup, variable ORDER BY seq) AS before FROM samples)
        SELECT plotgroup, variable, seq, ts, value FROM linked
-       UNION ALL SELECT plotgroup, variable, seq, before + INTERVAL 2 HOUR, NULL FROM linked WHERE ts - before > INTERVAL 2 HOUR""",
+       UNION ALL SELECT plotgroup, variable, seq, before + INTERVAL 2 HOUR, NULL FROM linked WHERE ts - before > INTERVAL 2 HOUR
+       UNION ALL SELECT plotgroup, variable, max(seq), arg_max(ts, seq) + INTERVAL 2 HOUR, NULL FROM samples GROUP BY 1, 2 HAVING arg_max(ts, seq) < TIMESTAMP '2024-02-10' - INTERVAL 2 HOUR""",
 )
 def _(t):
-    return I.mark_gaps(t.samples, "2h", block_size=BLOCK)
+    return I.mark_gaps(t.samples, "2h", block_size=BLOCK, now="2024-02-10 00:00:00")
 
 
 @query(

@@ -280,9 +280,9 @@ def _(t):
 @query(
     "h14_latest_with_timeout",
     """SELECT newsgroup, article_number, msg_time FROM feed
-       WHERE (SELECT TIMESTAMP '2024-01-31 00:30:00' - max(msg_time) FROM feed) <= INTERVAL 1 HOUR
+       WHERE (SELECT TIMESTAMP '2024-01-31 00:30:00' - max(msg_time) FROM feed) <= INTERVAL 1 DAY
        QUALIFY row_number() OVER (PARTITION BY newsgroup ORDER BY article_number DESC) = 1""",
 )
 def _(t):
     feed = t.feed.select("newsgroup", "article_number", "msg_time")
-    return H.latest_with_timeout(feed, "1h", "2024-01-31 00:30:00")
+    return H.latest_with_timeout(feed, "1 day", "2024-01-31 00:30:00")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidewire.catalog import query
 from tidewire.catalog.batching import _F6_MIXED
 from tidewire.catalog.intake import LOGS_SQL, log_tree
-from tidewire.catalog.payloads import CHUNK, split_messages
+from tidewire.catalog.payloads import split_messages
 from tidewire.catalog.payloads import messages as relay_messages
 from tidewire.operators.batches import BatchOptions
 from tidewire.plans.storage import shared_path
@@ -84,13 +84,12 @@ def _(t):
 
 @query(
     "l3_stream_join_parts",
-    f"""SELECT newsgroup, filename, md5(content_text) AS digest, n_bytes, 'ok' AS status FROM files WHERE n_bytes > {CHUNK}""",
+    """SELECT newsgroup, filename, md5(content_text) AS digest, n_bytes, 'ok' AS status FROM files""",
 )
 def _(t):
     root = shared_path(t.spark, "join")
     join = StreamJoin(t.spark, root, block_size=BLOCK * 100000)
-    parts = split_messages(t).filter("n_parts > 1")
-    parts = parts.select("newsgroup", "original", "article_number", "part_no", "n_parts", "checksum", "content")
+    parts = split_messages(t).select("newsgroup", "filename", "original", "article_number", "part_no", "n_parts", "checksum", "content")
     # every file is spread over the steps
     step = F.least(F.col("part_no"), F.lit(STEPS - 1))
     replay(t, parts, step, lambda s: run_batches(s, join.apply, f"{root}/checkpoint"))
@@ -115,13 +114,12 @@ def _(t):
 
 @query(
     "l5_stream_logs",
-    f"SELECT asctime, levelname, name, message, exc_info FROM ({LOGS_SQL}) WHERE levelname = 'ERROR' AND name LIKE 'Group1/%' OR name = 'Group2/error'",
+    f"SELECT asctime, levelname, name, message, exc_info FROM ({LOGS_SQL}) WHERE levelname = 'ERROR' AND (name LIKE 'Group1/%' OR name LIKE '%/error')",
 )
 def _(t):
     root = shared_path(t.spark, "follow")
     logs = StreamLogs(t.spark, root, ["Group1/*", "*/error", "!**"], "error")
-    kept = read_logs(t.spark, log_tree(t), stream=True).filter("name <> 'Group0/error'")
-    run_batches(kept, logs.apply, f"{root}/checkpoint").awaitTermination()
+    run_batches(read_logs(t.spark, log_tree(t), stream=True), logs.apply, f"{root}/checkpoint").awaitTermination()
     return logs.merged.all().select("asctime", "levelname", "name", "message", "exc_info")
 
 

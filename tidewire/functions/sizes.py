@@ -26,37 +26,37 @@ def fixed(value: Column, digits: int) -> Column:
     """``%.<digits>f`` of a non-negative double, rounding the exact binary value half to even.
 
     Java's formatter rounds the shortest decimal text half up instead, which
-    turns 2.25 into 2.3. The mantissa is scaled to an integer (exact, a power
-    of two) and rounded in integer arithmetic.
+    turns 2.25 into 2.3. Whole part and rest are exact in a double; the rest is scaled
+    to an integer by a power of two and rounded in integer arithmetic. Values of 2**62
+    and more have no rest.
     """
 
     def scaled(v: Column) -> Column:
-        small = v < 1.0
-        power = F.when(small, F.lit(float(2**62))).otherwise(F.lit(float(2**52)))
-        wide = (v * power).cast("bigint").cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(5,0)")
-        one = F.when(small, F.lit(2**62)).otherwise(F.lit(2**52)).cast("decimal(20,0)")
-        return F.struct(wide.cast("decimal(38,0)").alias("wide"), one.alias("one"))
+        whole = F.floor(F.least(v, F.lit(float(2**62)))).cast("bigint")
+        rest = ((v - whole.cast("double")) * F.lit(float(2**62))).cast("bigint").cast("decimal(20,0)")
+        wide = rest * F.lit(10**digits).cast("decimal(5,0)")
+        return F.struct(wide.cast("decimal(38,0)").alias("wide"), F.lit(2**62).cast("decimal(20,0)").alias("one"), whole.alias("whole"))
 
     def divided(p: Column) -> Column:
         rest = p["wide"] % p["one"]
-        whole = ((p["wide"] - rest) / p["one"]).cast("bigint")
-        return F.struct((rest * 2).alias("twice"), whole.alias("whole"), p["one"].alias("one"))
+        units = ((p["wide"] - rest) / p["one"]).cast("bigint")
+        return F.struct((rest * 2).alias("twice"), units.alias("units"), p["one"].alias("one"), p["whole"].alias("whole"))
 
     def rounded(p: Column) -> Column:
-        up = (p["twice"] > p["one"]) | ((p["twice"] == p["one"]) & (p["whole"] % 2 == 1))
-        return p["whole"] + F.when(up, 1).otherwise(0)
+        odd = (p["units"] + p["whole"] * F.lit(10**digits % 2)) % 2 == 1
+        up = (p["twice"] > p["one"]) | ((p["twice"] == p["one"]) & odd)
+        units = p["units"] + F.when(up, 1).otherwise(0)
+        full = units >= 10**digits
+        return F.struct((p["whole"] + full.cast("bigint")).alias("whole"), F.when(full, 0).otherwise(units).alias("units"))
 
-    def shown(units: Column) -> Column:
+    def shown(p: Column) -> Column:
         if digits == 0:
-            return units.cast("string")
-        fraction = F.lpad((units % 10**digits).cast("string"), digits, "0")
-        return F.concat(F.floor(units / F.lit(10**digits)).cast("string"), F.lit("."), fraction)
+            return p["whole"].cast("string")
+        return F.concat(p["whole"].cast("string"), F.lit("."), F.lpad(p["units"].cast("string"), digits, "0"))
 
     def exact(v: Column) -> Column:
-        # larger values go through the formatter and have no digits to spare
-        within = F.least(v, F.lit(2047.0))
-        text = let(let(let(scaled(within), divided), rounded), shown)
-        return F.when(v < 2047.0, text).otherwise(F.format_string(f"%.{digits}f", v))
+        text = let(let(let(scaled(v), divided), rounded), shown)
+        return F.when(v < float(2**62), text).otherwise(F.format_string(f"%.{digits}f", v))
 
     return let(value.cast("double"), exact)
 

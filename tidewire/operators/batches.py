@@ -379,14 +379,14 @@ def summary_report(closed: DataFrame, period: str | float, offset: str | float =
     )
 
 
-def summary_files(closed: DataFrame, period: str | float, offset: str | float = 0, max_files: int = 1000) -> DataFrame:
-    """The last ``max_files`` closed batches of each feed and period, to list their files."""
+def summary_files(closed: DataFrame, period: str | float, offset: str | float = 0, max_files: int | None = None) -> DataFrame:
+    """The closed batches of each feed and period, to list their files; with ``max_files`` the last so many."""
     w = Window.partitionBy("newsgroup", "period_start").orderBy(F.desc("batch_id"))
     return (
         closed.filter(F.col("close_time").isNotNull())
         .withColumn("period_start", summary_period(F.col("close_time"), period, offset))
         .withColumn("recency", F.row_number().over(w).cast("bigint"))
-        .filter(F.col("recency") <= max_files)
+        .filter(F.lit(True) if max_files is None else F.col("recency") <= max_files)
     )
 
 

@@ -34,13 +34,19 @@ def sync_merge(messages: DataFrame, feeds: Sequence[str], block_size: int = scan
     return keyed.drop("__t", "__peak").orderBy(*MERGE_ORDER)
 
 
+def log_order(records: DataFrame) -> list[str]:
+    """Time, then, where records have them, file and place in it: ties keep their order."""
+    return ["asctime", *(c for c in ("path", "record_no") if c in records.columns)]
+
+
 def merge_logs(records: DataFrame) -> DataFrame:
-    """All records by time."""
-    return records.orderBy("asctime")
+    """All records by time, and at one time by file and place."""
+    return records.orderBy(*log_order(records))
 
 
-def tail_logs(records: DataFrame, n: int, order: Sequence[str] = ("asctime",)) -> DataFrame:
+def tail_logs(records: DataFrame, n: int, order: Sequence[str] | None = None) -> DataFrame:
     """The n newest records, oldest first."""
+    order = log_order(records) if order is None else order
     newest = records.orderBy(*[F.desc(c) for c in order]).limit(n)
     return newest.orderBy(*order)
 

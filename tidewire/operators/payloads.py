@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.content import checksum
 from tidewire.functions.sizes import bytes_value
 from tidewire.plans import scan
+from tidewire.sinks.raw import write_files
 
 OK, MISMATCH, UNCHECKED, INCOMPLETE = "ok", "mismatch", "no checksum", "incomplete"
 CHUNK_BYTES = 64 << 20
@@ -122,9 +123,13 @@ def assemblies(parts: DataFrame, block_size: int = scan.BLOCK) -> DataFrame:
 def join_parts(parts: DataFrame, block_size: int = scan.BLOCK, placed: DataFrame | None = None) -> DataFrame:
     """Put split files together again: content of complete ones, and whether it is the original.
 
-    ``parts`` has ``newsgroup, article_number, original, part_no, n_parts, checksum, content``.
-    A part that came twice before its file was complete counts with its later content.
+    ``parts`` has ``newsgroup, article_number, original, part_no, n_parts, checksum, content``
+    and, where files that were not split (``original`` null) are among them, ``filename``: these
+    pass unchanged, without assembly. A part that came twice before its file was complete
+    counts with its later content.
     ``placed`` is the result of :func:`assemblies` where the caller has it already."""
+    whole = parts.filter("original IS NULL")
+    parts = parts.filter("original IS NOT NULL")
     placed = assemblies(parts, block_size) if placed is None else placed
     # The later of repeated parts, and how many different ones there are: still metadata.
     kept = placed.groupBy(*FILE, "assembly", "part_no").agg(
@@ -138,11 +143,19 @@ def join_parts(parts: DataFrame, block_size: int = scan.BLOCK, placed: DataFrame
         F.max_by("n_parts", "article_number").alias("n_parts"),
         F.count("*").alias("n_received"),
         F.max_by("checksum", "article_number").alias("checksum"),
-        F.array_sort(F.collect_list(F.struct("part_no", "content"))).alias("pieces"),
+        F.expr("listagg(content) WITHIN GROUP (ORDER BY part_no)").alias("content"),
     )
-    content = F.aggregate("pieces", F.lit(b""), lambda acc, piece: F.concat(acc, piece["content"]))
     complete = F.col("n_received") == F.col("n_parts")
-    joined = grouped.withColumn("content", F.when(complete, content)).drop("pieces")
+    joined = grouped.withColumn("content", F.when(complete, F.col("content")))
+    if "filename" in whole.columns:
+        one = F.lit(1).cast("bigint")
+        joined = joined.unionByName(
+            whole.select(
+                "newsgroup", F.col("filename").alias("original"), F.lit(None).cast("bigint").alias("assembly"),
+                "article_number", "n_parts", one.alias("n_received"), "checksum", "content",
+            )
+        )
+        complete = F.col("n_received") == F.col("n_parts")
     status = (
         F.when(~complete, INCOMPLETE)
         .when(F.col("checksum").isNull(), UNCHECKED)
@@ -239,9 +252,26 @@ def archive_chunks(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES, block_size:
     placed = meta.withColumn("chunk_no", F.floor(F.col("__before") / F.lit(chunk_bytes)))
     keys = ["newsgroup", "dest", "article_number", "part_no"]
     joined = rows.join(placed.select(*keys, "chunk_no"), keys)
-    grouped = joined.groupBy("newsgroup", "dest", "chunk_no").agg(
+    return joined.groupBy("newsgroup", "dest", "chunk_no").agg(
         F.count("*").alias("n_files"),
-        F.array_sort(F.collect_list(F.struct("article_number", "part_no", "content"))).alias("pieces"),
+        F.expr("listagg(content) WITHIN GROUP (ORDER BY struct(article_number, part_no))").alias("content"),
     )
-    content = F.aggregate("pieces", F.lit(b""), lambda acc, piece: F.concat(acc, piece["content"]))
-    return grouped.withColumn("content", content).drop("pieces")
+
+
+def write_archive(
+    files: DataFrame,
+    root: str,
+    max_messages: int = 1,
+    overwrite: bool = True,
+    existing: DataFrame | None = None,
+    chunk_bytes: int = CHUNK_BYTES,
+    block_size: int = scan.BLOCK,
+) -> DataFrame:
+    """Archive ``files`` below ``root/<newsgroup>``: who stays in each destination is decided on
+    metadata, contents are joined once, and each destination's chunks go, in their order,
+    into one file. A row per file: ``dest, n_bytes``. Lazy, as :func:`write_files`."""
+    keys = ["newsgroup", "article_number", "part_no"]
+    staying = archive_rows(files.drop("content"), max_messages, overwrite, existing)
+    rows = staying.select("dest", *keys).join(files.select(*keys, "content"), keys)
+    chunks = archive_chunks(rows, chunk_bytes, block_size)
+    return write_files(chunks.withColumn("dest", F.concat_ws("/", "newsgroup", "dest")), root)

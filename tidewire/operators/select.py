@@ -100,22 +100,27 @@ def recent_to_newest(messages: DataFrame, offset: str | float) -> DataFrame:
     return join_measured(messages, newest, ["newsgroup"]).filter(age <= duration_micros(offset)).drop("__newest")
 
 
+def _above(pattern: str) -> list[str]:
+    """The patterns of the levels above a pattern, the nearest first."""
+    above = []
+    while "/" in (pattern := pattern.strip("/")):
+        pattern = pattern.rpartition("/")[0]
+        above.append(re.sub("/+", "/", pattern.rstrip("/")))
+    return above
+
+
 def expand_log_patterns(patterns: Iterable[str], recursive: bool = False, parents: bool = False) -> list[str]:
-    """The pattern list a viewer really applies: the patterns, their parents on request,
-    and everything one level (or any depth) below each."""
-    out = list(patterns)
-    if parents:
-        for pattern in list(out):
-            steps = [s for s in pattern.split("/") if s]
-            out += ["/".join(steps[:i]) for i in range(len(steps) - 1, 0, -1)]
-    return out + [f"{p}/{'**' if recursive else '*'}" for p in out]
+    """The names a viewer shows for its patterns: those that match, on request the levels
+    above them, and what lies one level (or any depth) below."""
+    named = list(patterns)
+    levels = named + [up for p in named for up in _above(p)] if parents else named
+    below = "/**" if recursive else "/*"
+    return [*levels, *(level + below for level in levels)]
 
 
 def _path_regex(pattern: str) -> str:
-    # "**" any depth, "*" within one level, everything else literal
-    pieces = re.split(r"(\*\*|\*)", pattern)
-    known = {"**": ".*", "*": "[^/]+"}
-    return "^" + "".join(known.get(p) or re.sub(r"([\\.^$+{}()|\[\]?])", r"\\\1", p) for p in pieces) + "$"
+    """One star stays within a level, two do not; everything else is literal."""
+    return "^" + re.escape(pattern).replace(r"\*\*", ".*").replace(r"\*", "[^/]+") + "$"
 
 
 def log_name_matches(name: Column, patterns: Sequence[str]) -> Column:

@@ -121,11 +121,13 @@ def extract_variables(
 
 
 def known_intervals(samples: DataFrame, timeout: str | float, order: str = "seq", block_size: int = scan.BLOCK) -> DataFrame:
-    """Per sample the time it speaks for: (``since``, ``until``] in microseconds. Samples after
-    more than ``timeout``, the first of a series and unknown values speak for none."""
+    """Per sample the time it speaks for: (``since``, ``until``] in microseconds, from the
+    latest time so far, so that no time counts twice when samples come out of order. Samples
+    after more than ``timeout``, the first of a series, samples behind a later one and
+    unknown values speak for none."""
     rows = samples.withColumn("until", micros(F.col("ts")))
-    linked = scan.running(rows, SERIES, order, {"__before": scan.previous("until")}, block_size)
-    since = F.col("__before")["until"]
+    linked = scan.running(rows, SERIES, order, {"__before": scan.running_max(F.col("until"), inclusive=False)}, block_size)
+    since = F.col("__before")
     known = F.col("value").isNotNull() & (F.col("until") > since) & (F.col("until") - since <= duration_micros(timeout))
     return linked.withColumn("since", since).filter(known).drop("__before")
 
@@ -168,15 +170,24 @@ def resample(
     )
 
 
-def mark_gaps(samples: DataFrame, timeout: str | float, order: str = "seq", block_size: int = scan.BLOCK) -> DataFrame:
-    """Samples plus an unknown one ``timeout`` after each that has no successor by then."""
+def mark_gaps(
+    samples: DataFrame, timeout: str | float, order: str = "seq", block_size: int = scan.BLOCK, now: str | None = None
+) -> DataFrame:
+    """Samples plus an unknown one ``timeout`` after each that has no successor by then; after
+    a series' last sample only if ``now`` is given and later than that."""
     limit = duration_micros(timeout)
     linked = scan.running(samples, SERIES, order, {"__before": scan.previous("ts")}, block_size)
     before = micros(F.col("__before")["ts"])
     own = F.struct("ts", "value")
     gap = F.struct(from_micros(before + limit).alias("ts"), F.lit(None).cast("double").alias("value"))
     late = F.coalesce(micros(F.col("ts")) - before > limit, F.lit(False))
-    return linked.select(*SERIES, order, F.inline(F.when(late, F.array(gap, own)).otherwise(F.array(own))))
+    marked = linked.select(*SERIES, order, F.inline(F.when(late, F.array(gap, own)).otherwise(F.array(own))))
+    if now is None:
+        return marked
+    last = samples.groupBy(*SERIES).agg(F.max(order).alias(order), F.max_by("ts", order).alias("ts"))
+    ended = last.filter(micros(F.lit(now).cast("timestamp_ntz")) - micros(F.col("ts")) > limit)
+    unknown = ended.select(*SERIES, order, from_micros(micros(F.col("ts")) + limit).alias("ts"), F.lit(None).cast("double").alias("value"))
+    return marked.unionByName(unknown)
 
 
 def retain(samples: DataFrame, duration: str | float) -> DataFrame:

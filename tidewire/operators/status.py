@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.times import duration_micros, elapsed, from_micros, micros, strftime
 from tidewire.plans import scan
+from tidewire.plans.joins import join_measured
 
 NOTICE_TIME = "%a, %d %b %Y %H:%M:%S UTC"
 
@@ -40,8 +41,11 @@ def poll_activity(
     Messages naming the same run are aggregated before the runs are expanded."""
     step, shift, back = duration_micros(period), duration_micros(offset), duration_micros(timeout)
     us = micros(F.col("msg_time")) - F.lit(shift)
+    # no tick looks further back than the timeout: plain comparisons, which reach the scan
+    oldest = F.lit(start).cast("timestamp_ntz") - F.expr(f"INTERVAL {back} MICROSECOND")
+    seen = messages.filter((F.col("msg_time") >= oldest) & (F.col("msg_time") <= F.lit(stop).cast("timestamp_ntz")))
     runs = (
-        messages.select(
+        seen.select(
             "newsgroup",
             "msg_time",
             F.ceil(us / F.lit(step)).cast("bigint").alias("first"),
@@ -176,7 +180,7 @@ def state_intervals(observations: DataFrame, block_size: int = scan.BLOCK) -> Da
     return out.withColumn("elapsed", elapsed(F.col("start_time"), F.col("last_time")))
 
 
-def state_history(intervals: DataFrame, n: int = 10) -> DataFrame:
+def state_history(intervals: DataFrame, n: int) -> DataFrame:
     """The last n closed intervals of each member, newest index 1."""
     w = Window.partitionBy("member").orderBy(F.desc("run"))
     return (
@@ -215,8 +219,8 @@ def state_board(states: DataFrame) -> DataFrame:
         F.when(F.count_if("changed") > 1, "Multiple instruments have changed status")
         .when(F.count_if("changed") == 1, F.max(F.when(F.col("changed"), F.concat_ws(" ", "label", F.initcap("state")))))
     )
-    subject = states.agg(subject_text).scalar()
-    width = states.agg(F.max(F.length("label"))).scalar()
+    facts = states.agg(F.struct(subject_text.alias("subject"), F.max(F.length("label")).alias("width"))).scalar()
+    subject, width = facts["subject"], facts["width"]
     note = F.when(F.col("changed"), F.concat(F.lit("<-- "), F.col("change_time").cast("string"))).otherwise("")
     padded = F.concat(F.repeat(F.lit(" "), width - F.length("label")), F.col("label"))
     line = F.concat(F.lit("  "), padded, F.lit(": "), F.rpad(F.initcap("state"), 10, " "), F.lit(" "), note)
@@ -279,10 +283,10 @@ def state_notices(intervals: DataFrame, block_size: int = scan.BLOCK) -> DataFra
 
 
 def latest_by_feed(messages: DataFrame) -> DataFrame:
-    """Newest message of each feed."""
-    columns = [c for c in messages.columns if c != "newsgroup"]
-    newest = messages.groupBy("newsgroup").agg(F.max_by(F.struct(*columns), "article_number").alias("m"))
-    return newest.select("newsgroup", "m.*")
+    """Newest message of each feed: its number is found on narrow columns, and only the
+    messages with that number are looked at whole."""
+    newest = messages.groupBy("newsgroup").agg(F.max("article_number").alias("article_number"))
+    return join_measured(messages, newest, ["newsgroup", "article_number"]).dropDuplicates(["newsgroup"]).select(messages.columns)
 
 
 def latest_with_timeout(messages: DataFrame, timeout: str | float, now: str) -> DataFrame:

@@ -67,6 +67,12 @@ def _with_block(df: DataFrame, order: list[str], block_size: int) -> DataFrame:
     return df.withColumn(_B, F.floor(F.col(order[0]) / F.lit(block_size)))
 
 
+def _key_copies(keys: Sequence[str]) -> tuple[list[str], list[Column]]:
+    """Copies of the keys that are never null, so that they can be joined by plain equality."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    return names, [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(n) for k, n in zip(keys, names)]
+
+
 def _attach(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join the block summaries back. Plain equality keeps the rows' partitioning,
     so the rows are not shuffled again; keys must not be null."""
@@ -84,8 +90,9 @@ def running(
 
     The first order column must be numeric; further ones break ties."""
     order = _order(order)
-    rows = _with_block(df, order, block_size)
-    key_block = [*keys, _B]
+    names, copies = _key_copies(keys)
+    rows = _with_block(df.select("*", *copies), order, block_size)
+    keys, key_block = names, [*names, _B]
     upto = Window.partitionBy(*key_block).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*key_block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     blocks_before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
@@ -141,10 +148,9 @@ def islands(
     ``narrow`` says that all columns are small and the caller uses them all; then the rows
     and the block summaries come from one and the same shuffle.
     """
-    # Copies of the keys that are never null: with them the join below puts no filter on one
-    # side only, so that both sides are one and the same shuffle, which Spark runs once.
-    names = [f"__k{i}" for i in range(len(keys))]
-    copies = [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(n) for k, n in zip(keys, names)]
+    # With keys that are never null the join below puts no filter on one side only, so that
+    # both sides are one and the same shuffle, which Spark runs once.
+    names, copies = _key_copies(keys)
     block = F.coalesce(F.floor(F.col(order) / F.lit(block_size)), F.lit(0)).alias(_B)
     rows = df.select("*", *copies, block, F.struct(*values).alias("__v"))
     kept = [c for c in df.columns if not c.startswith("__")]

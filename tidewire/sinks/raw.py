@@ -1,4 +1,4 @@
-"""Writing one file per row from inside tasks, on any file system Arrow knows."""
+"""Writing files from inside tasks, on any file system Arrow knows."""
 
 from __future__ import annotations
 
@@ -8,17 +8,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def put(fs: pyarrow.fs.FileSystem, path: str, content: bytes) -> None:
     """Write under a temporary name, then rename, so that a repeated task leaves one whole file."""
-    folder, name = posixpath.split(path)
-    fs.create_dir(folder, recursive=True)
-    draft = f"{folder}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(draft) as out:
-        out.write(content)
-    fs.move(draft, path)
+    draft = Draft(fs, path)
+    draft.add(content)
+    draft.close()
 
 
 def open_root(root: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -29,9 +26,61 @@ def open_root(root: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.LocalFileSystem(), root
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """A path without a scheme, as Spark reads it: on the default file system."""
+    if "://" in root or root.startswith("file:"):
+        return root
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return posixpath.abspath(root) if default.startswith("file:") else default.rstrip("/") + root
+
+
+class Draft:
+    """A file that is written piece by piece and appears, whole, when it is closed."""
+
+    def __init__(self, fs: pyarrow.fs.FileSystem, path: str):
+        folder, name = posixpath.split(path)
+        fs.create_dir(folder, recursive=True)
+        self.fs, self.path, self.n_bytes = fs, path, 0
+        self.draft = f"{folder}/.{name}.{uuid.uuid4().hex}"
+        self.out = fs.open_output_stream(self.draft)
+
+    def add(self, content: bytes) -> None:
+        self.out.write(content)
+        self.n_bytes += len(content)
+
+    def close(self) -> None:
+        self.out.close()
+        self.fs.move(self.draft, self.path)
+
+
 def write_files(files: DataFrame, root: str) -> DataFrame:
     """Store ``content`` of each row at ``root/dest``; a row per file written. Lazy: the files
-    are written when the result is."""
+    are written when the result is.
+
+    Rows with a ``chunk_no`` are pieces of a file: those of one ``dest`` go into it in this
+    order, by one task that holds one piece at a time."""
+    root = qualified(files.sparkSession, root)
+
+    def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = open_root(root)
+        now, draft = None, None
+        for frame in frames:
+            done = []
+            for dest, content in zip(frame["dest"], frame["content"]):
+                if dest != now:
+                    if draft:
+                        draft.close()
+                        done.append((now, draft.n_bytes))
+                    now, draft = dest, Draft(fs, f"{base}/{dest}")
+                draft.add(content)
+            yield pd.DataFrame(done, columns=["dest", "n_bytes"]).astype({"n_bytes": "int64"})
+        if draft:
+            draft.close()
+            yield pd.DataFrame([(now, draft.n_bytes)], columns=["dest", "n_bytes"])
+
+    if "chunk_no" in files.columns:
+        dealt = files.select("dest", "chunk_no", "content").repartition("dest").sortWithinPartitions("dest", "chunk_no")
+        return dealt.select("dest", "content").mapInPandas(join, "dest string, n_bytes bigint")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = open_root(root)

@@ -9,7 +9,27 @@ from tidewire.functions.content import split_traceback
 from tidewire.schema import LOG_JSON
 
 _STARTS = r"(?m)(?=^\[\d{4}-\d{2}-\d{2})"
-_RECORD = r"(?s)^\[(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+)\s+([A-Z]+)\]\s+([^:]+):(.*)$"
+
+
+def _fields(piece: Column) -> Column:
+    """The parts of a text record ``[date time level] name: message``, cut by position: up to
+    the closing bracket, and from there up to the first colon. Null if it has not this form."""
+    bracket = F.instr(piece, "]")
+    stamp = F.split(F.trim(F.substring(piece, 2, bracket - 2)), r"\s+")
+    rest = F.ltrim(F.substring(piece, bracket + 1, F.length(piece)))
+    colon = F.instr(rest, ":")
+    whole = piece.startswith("[") & (bracket > 1) & (F.size(stamp) == 3) & (colon > 1)
+    level = F.get(stamp, F.lit(2))
+    timed = F.get(stamp, F.lit(1)).contains(".") & (level == F.upper(level)) & (level != F.lower(level))
+    return F.when(
+        whole & timed,
+        F.struct(
+            F.concat_ws(" ", F.get(stamp, F.lit(0)), F.get(stamp, F.lit(1))).alias("asctime"),
+            level.alias("levelname"),
+            F.substring(rest, F.lit(1), colon - 1).alias("name"),
+            F.substring(rest, colon + 1, F.length(rest)).alias("text"),
+        ),
+    )
 
 
 def _log_time(text: Column) -> Column:
@@ -20,18 +40,19 @@ def parse_logs(files: DataFrame) -> DataFrame:
     """Records of whole log files (``path, content``): text records where there is any, else
     JSON lines with a time. A traceback is split from its message."""
     trimmed = F.regexp_replace("content", r"\n+\z", "")
-    chunks = F.filter(F.split(trimmed, _STARTS), lambda c: c.rlike(_RECORD))
+    chunks = F.filter(F.split(trimmed, _STARTS), lambda c: _fields(c).isNotNull())
     read = files.select("path", trimmed.alias("content"), chunks.alias("chunks"))
     is_text = F.size("chunks") > 0
     pieces = F.when(is_text, F.col("chunks")).otherwise(F.split("content", "\n"))
     rows = read.select("path", is_text.alias("is_text"), F.posexplode(pieces).alias("record_no", "piece"))
     # the break before the next record belongs to neither
     piece = F.regexp_replace("piece", r"\n\z", "")
-    message, trace = split_traceback(F.regexp_extract(piece, _RECORD, 4))
+    fields = _fields(piece)
+    message, trace = split_traceback(fields["text"])
     as_text = F.struct(
-        F.regexp_extract(piece, _RECORD, 1).alias("asctime"),
-        F.regexp_extract(piece, _RECORD, 2).alias("levelname"),
-        F.regexp_extract(piece, _RECORD, 3).alias("name"),
+        fields["asctime"].alias("asctime"),
+        fields["levelname"].alias("levelname"),
+        fields["name"].alias("name"),
         message.alias("message"),
         trace.alias("exc_info"),
         F.lit(None).cast("string").alias("stderr"),

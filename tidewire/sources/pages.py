@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,14 +17,28 @@ _ATTRIBUTE = r"""(?is)[\s"'/]([^\s"'>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 _SKIPPED = [r"(?is)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>"]
 # scheme, authority, path, query, fragment
 _URL = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
-# Entities that occur in attribute values; the ampersand comes last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# the standard's names, as one literal that Spark folds into a map
+_NAMED = json.dumps({name: char for name, char in html5.items() if name.endswith(";")})
+
+
+def _character(entity: Column) -> Column:
+    """The text of one entity; an unknown one stays as it is."""
+    number = F.regexp_extract(entity, "^&#([0-9]+);$", 1).try_cast("int")
+    code = F.conv(F.regexp_extract(entity, "^&#[xX]([0-9a-fA-F]+);$", 1), 16, 10).try_cast("int")
+    at = F.coalesce(number, code)
+    valid = at.between(1, 0x10FFFF) & ~at.between(0xD800, 0xDFFF)
+    numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(at), 8, "0")), "UTF-32"))
+    named = F.try_element_at(F.from_json(F.lit(_NAMED), "map<string,string>"), F.substring(entity, 2, F.length(entity)))
+    return F.coalesce(numeric, named, entity)
 
 
 def _unescape(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """All entities decoded, each once, from left to right."""
+    between = F.split(text, _ENTITY, -1)
+    found = F.concat(F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0)), _character), F.array(F.lit("")))
+    decoded = F.array_join(F.zip_with(between, found, lambda t, c: F.concat(t, c)), "")
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 def _attribute(tag: Column, name: str) -> Column:

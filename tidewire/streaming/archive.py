@@ -20,6 +20,7 @@ MESSAGES = (
     "open_id bigint, open_n bigint, open_last bigint"
 )
 OPEN = "newsgroup string, batch_id bigint, n bigint, last bigint, poll_time double"
+TIMED_OUT = "newsgroup string, batch_id bigint, n_msgs bigint, reason string"
 
 
 def clock() -> float:
@@ -30,8 +31,8 @@ class StreamArchive:
     """Batches of a feed across micro-batches, by the same rule as a whole feed at once.
 
     ``root/messages`` has what became of each message, ``root/open`` the open batch of each
-    feed. A batch open at the start of a micro-batch closes first if nothing was read from
-    its feed for ``timeout``."""
+    feed, ``root/timed_out`` the batches that closed because nothing was read from their feed
+    for ``timeout``. That is looked at when a micro-batch starts, before its messages."""
 
     def __init__(
         self,
@@ -45,10 +46,13 @@ class StreamArchive:
         self.options, self.timeout, self.now, self.block_size = options, timeout, now, block_size
         self.messages = EpochTable(spark, f"{root}/messages", MESSAGES)
         self.open = EpochTable(spark, f"{root}/open", OPEN)
+        self.late = EpochTable(spark, f"{root}/timed_out", TIMED_OUT)
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
         now = self.now()
-        carried = self.still_open(self.open.read(epoch - 1), now)
+        before = self.open.read(epoch - 1)
+        carried = self.still_open(before, now)
+        self.late.write(self._expired(before, now), epoch)
         placed = batch_feed(batch, self.options, carried=carried, block_size=self.block_size)
         stored = self.messages.write(placed, epoch)
         last = stored.groupBy("newsgroup").agg(
@@ -79,12 +83,16 @@ class StreamArchive:
             F.sum("n_bytes").alias("n_bytes"),
         )
 
-    def timed_out(self, epoch: int) -> DataFrame:
-        """Batches left open by a micro-batch that have timed out by now, with the reason."""
-        state = self.open.read(epoch)
-        late = state.join(self.still_open(state, self.now()).select("newsgroup"), "newsgroup", "left_anti")
+    def _expired(self, state: DataFrame, now: float) -> DataFrame:
+        late = state.join(self.still_open(state, now).select("newsgroup"), "newsgroup", "left_anti")
         return late.select("newsgroup", "batch_id", F.col("n").alias("n_msgs"), F.lit(TIMEOUT).alias("reason"))
 
+    def timed_out(self, epoch: int) -> DataFrame:
+        """All batches that timed out up to this micro-batch, and those it left open that have by
+        now, with the reason."""
+        stored = self.late.all().filter(F.col("epoch") <= epoch).drop("epoch")
+        return stored.unionByName(self._expired(self.open.read(epoch), self.now()))
+
 
 PARTS = "newsgroup string, original string, article_number bigint, part_no int, n_parts int, checksum string, content binary"
 WAITING = "newsgroup string, original string, article_number bigint, part_no int, n_parts int, arrived_epoch bigint, arrived double"
@@ -118,6 +126,8 @@ class StreamJoin:
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
         now = self.now()
+        if "filename" in batch.columns:  # a file that was not split is a round of one part
+            batch = batch.withColumn("original", F.coalesce("original", "filename"))
         stored = self.parts.write(batch.select("newsgroup", "original", "article_number", "part_no", "n_parts", "checksum", "content"), epoch)
         arrived = stored.drop("content", "checksum").select("*", F.lit(epoch).cast("bigint").alias("arrived_epoch"), F.lit(now).alias("arrived"))
         known = self.waiting.read(epoch - 1).unionByName(arrived)
@@ -140,7 +150,9 @@ class StreamJoin:
 
         ready = judged.filter("complete or late")
         wanted = ready.select("newsgroup", "article_number", F.col("arrived_epoch").alias("epoch"))
-        contents = self.parts.all().join(wanted, ["newsgroup", "article_number", "epoch"], "left_semi").drop("epoch")
+        # only micro-batches that something waits for are read: at most one number for each
+        epochs = [r["epoch"] for r in wanted.select("epoch").distinct().collect()]
+        contents = self.parts.some(epochs).join(wanted, ["newsgroup", "article_number", "epoch"], "left_semi").drop("epoch")
         joined = join_parts(contents, placed=ready.select(*FILE, "assembly", "article_number", "part_no", "n_parts"))
         self.files.write(
             joined.select("newsgroup", "filename", "article_number", "n_parts", "n_received", "checksum", "content", "status"),

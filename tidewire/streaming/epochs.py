@@ -7,7 +7,7 @@ tables hold each message's effect once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -33,6 +33,14 @@ class EpochTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self._folder(epoch))
 
+    def some(self, epochs: Iterable[int]) -> DataFrame:
+        """Rows of some micro-batches, with their epoch."""
+        schema = f"{self.schema}, epoch bigint"
+        folders = [self._folder(e) for e in epochs]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.root).parquet(*folders)
+
     def all(self) -> DataFrame:
         """Rows of all micro-batches, with their epoch."""
         return self.spark.read.schema(f"{self.schema}, epoch bigint").parquet(self.root)
