@@ -238,8 +238,8 @@ def _(t):
 
 # ---------------------------------------------------------------- rosters
 
-# the members are the users of the feeds; those seen are the customers with orders
-_ROSTER, _SEEN = "SELECT DISTINCT user_id AS member FROM events", "SELECT DISTINCT o_custkey AS member FROM orders"
+# the members are the users of the feeds, those seen have the numbers of the suppliers
+_ROSTER, _SEEN = "SELECT DISTINCT user_id AS member FROM events", "SELECT s_suppkey AS member FROM supplier"
 
 
 def roster(t):
@@ -247,7 +247,7 @@ def roster(t):
 
 
 def seen(t):
-    return t.table("orders").select(F.col("o_custkey").alias("member")).distinct()
+    return t.table("supplier").select(F.col("s_suppkey").alias("member"))
 
 
 @query("e2_missing_members", f"{_ROSTER} EXCEPT {_SEEN}")
