@@ -1,5 +1,6 @@
 """Cases that the SQL of the registered queries does not have."""
 
+import configparser
 import html
 import random
 from datetime import datetime, timedelta
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.sizes import fixed
 from tidewire.operators import batches as B
+from tidewire.operators import marks as M
 from tidewire.operators import payloads as P
 from tidewire.operators import select as S
 from tidewire.operators import series as I
@@ -16,6 +18,7 @@ from tidewire.plans import scan
 from tidewire.plans.storage import shared_path
 from tidewire.sources.logs import parse_logs
 from tidewire.sources.pages import page_links
+from tidewire.sources.snapshots import parse_snapshot
 from tidewire.streaming.archive import StreamArchive
 from test_batches import SCHEMA
 
@@ -107,3 +110,40 @@ def test_log_records_by_position(spark):
 def test_log_patterns():
     assert S.expand_log_patterns(["a/b/c"]) == ["a/b/c", "a/b/c/*"]
     assert S.expand_log_patterns(["a/b/c", "d"], recursive=True, parents=True) == ["a/b/c", "d", "a/b", "a", "a/b/c/**", "d/**", "a/b/**", "a/**"]
+
+
+def pushed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_incremental_reads_reach_the_scan(spark):
+    start = datetime(2024, 1, 1)
+    rows = [("g" if k % 2 else "h", k, start + timedelta(hours=k)) for k in range(1, 100)]
+    path = shared_path(spark, "messages")
+    spark.createDataFrame(rows, "newsgroup string, article_number bigint, msg_time timestamp_ntz").write.parquet(path)
+    messages = spark.read.parquet(path)
+    marks = spark.createDataFrame([("g", 91), ("h", 80)], "newsgroup string, last_read bigint")
+    new = M.unread(messages, marks)
+    assert "GreaterThan(article_number,80)" in pushed(new)
+    assert {r.article_number for r in new.collect()} == {*range(93, 100, 2), *range(82, 100, 2)}
+    assert "GreaterThan(article_number,80)" in pushed(M.unread(messages, marks, S.feed_marks(messages)))
+    late = S.recent_to_newest(messages, "5h")
+    assert "GreaterThanOrEqual(msg_time,2024-01-04T21:00)" in pushed(late)
+    assert {r.article_number for r in late.collect()} == {94, 96, 98, 95, 97, 99} | {93 + 1}
+    samples = messages.selectExpr("'p' AS plotgroup", "newsgroup AS variable", "article_number AS seq", "msg_time AS ts")
+    assert I.retain(samples, "5h").count() == 6
+
+
+def test_snapshots_equal_the_configuration_parser():
+    rng = random.Random(4)
+    for _ in range(300):
+        lines = ["[s]"]
+        for _ in range(rng.randint(0, 12)):
+            key, value = rng.choice("aBcd"), rng.choice(["1", "x y", "p=q", "", "u:v"])
+            lines.append(rng.choice([f"[{rng.choice(['s', 't', 'DEFAULT'])}]", f"{key} = {value}", f"{key}: {value}  ", "# note", "; note", ""]))
+        text = "\n".join(lines) + "\n"
+        known = configparser.ConfigParser(strict=False, interpolation=None)
+        known.read_string(text)
+        expected = {n: dict(known[n]) for n in known.sections()}
+        got = parse_snapshot(text)
+        assert {n: v for n, v in got.items() if n != "DEFAULT"} == expected, text

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.operators.select import feed_marks
-from tidewire.plans.joins import join_measured
+from tidewire.plans.storage import stage
 
 
 def effective_marks(feeds: DataFrame, marks: DataFrame) -> DataFrame:
@@ -20,11 +20,17 @@ def effective_marks(feeds: DataFrame, marks: DataFrame) -> DataFrame:
     )
 
 
-def unread(messages: DataFrame, marks: DataFrame) -> DataFrame:
-    """Messages past the last-read mark; the marks have one row per feed."""
-    starts = effective_marks(feed_marks(messages), marks).select("newsgroup", "mark")
-    marked = join_measured(messages, starts, ["newsgroup"])
-    return marked.filter(F.col("article_number") > F.col("mark")).drop("mark")
+def unread(messages: DataFrame, marks: DataFrame, feeds: DataFrame | None = None) -> DataFrame:
+    """Messages past the last-read mark; the marks have one row per feed.
+
+    The lowest mark, one number, is a plain comparison that reaches the scan, so that a poll
+    reads what is new. ``feeds`` (``newsgroup, low, high``), where the caller keeps such a
+    table, spares the pass over all article numbers. Starts a job when called."""
+    known = feed_marks(messages) if feeds is None else feeds
+    starts = stage(effective_marks(known, marks).select("newsgroup", "mark"), "marks")
+    oldest = starts.agg(F.min("mark")).first()[0]
+    new = messages if oldest is None else messages.filter(F.col("article_number") > oldest)
+    return new.join(starts, ["newsgroup"]).filter(F.col("article_number") > F.col("mark")).drop("mark")
 
 
 def catch_up(feeds: DataFrame, marks: DataFrame, n: int, reset: bool = False) -> DataFrame:
@@ -51,10 +57,10 @@ def last_n(messages: DataFrame, n: int) -> DataFrame:
     return messages.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")
 
 
-def next_unread(messages: DataFrame, marks: DataFrame) -> DataFrame:
+def next_unread(messages: DataFrame, marks: DataFrame, feeds: DataFrame | None = None) -> DataFrame:
     """Only the next unread message of each feed."""
     w = Window.partitionBy("newsgroup").orderBy("article_number")
-    rows = unread(messages, marks)
+    rows = unread(messages, marks, feeds)
     return rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= 1).drop("__r")
 
 

@@ -59,9 +59,8 @@ def content_changes(
     contents: DataFrame, key: str = "page", order: str = "check_no", block_size: int = scan.BLOCK
 ) -> DataFrame:
     """Checks (``key, order``) whose retrieved contents (``url_no, content``) differ from the check before."""
-    pieces = F.array_sort(F.collect_list(F.struct("url_no", "content")))
     whole = contents.groupBy(key, order).agg(
-        F.md5(F.aggregate(pieces, F.lit(b""), lambda acc, p: F.concat(acc, p["content"]))).alias("__md5"),
+        F.md5(F.expr("listagg(content) WITHIN GROUP (ORDER BY url_no)")).alias("__md5"),
         F.count("*").alias("n_urls"),
     )
     return _changes(whole, key, order, F.col("__md5"), block_size).drop("__md5")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.globs import glob, glob_all, glob_any, include_exclude
 from tidewire.functions.times import duration_micros, micros
-from tidewire.plans.joins import join_measured
+from tidewire.plans.joins import newest_of
 
 # Severity of the standard log levels.
 LEVELS = {
@@ -95,9 +95,7 @@ def recent(messages: DataFrame, offset: str | float, now: str) -> DataFrame:
 
 def recent_to_newest(messages: DataFrame, offset: str | float) -> DataFrame:
     """The same per feed, counted back from the feed's newest message."""
-    newest = messages.groupBy("newsgroup").agg(F.max("msg_time").alias("__newest"))
-    age = micros(F.col("__newest")) - micros(F.col("msg_time"))
-    return join_measured(messages, newest, ["newsgroup"]).filter(age <= duration_micros(offset)).drop("__newest")
+    return newest_of(messages, ["newsgroup"], "msg_time", duration_micros(offset), "<=")
 
 
 def _above(pattern: str) -> list[str]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.globs import to_regex
 from tidewire.functions.times import duration_micros, from_micros, micros
 from tidewire.plans import scan
-from tidewire.plans.joins import join_measured
+from tidewire.plans.joins import newest_of
 from tidewire.sources.snapshots import snapshot_entries, snapshot_value
 
 SERIES = ["plotgroup", "variable"]
@@ -192,9 +192,7 @@ def mark_gaps(
 
 def retain(samples: DataFrame, duration: str | float) -> DataFrame:
     """The newest ``duration`` of each series."""
-    newest = samples.groupBy(*SERIES).agg(F.max("ts").alias("__newest"))
-    age = micros(F.col("__newest")) - micros(F.col("ts"))
-    return join_measured(samples, newest, SERIES).filter(age < duration_micros(duration)).drop("__newest")
+    return newest_of(samples, SERIES, "ts", duration_micros(duration), "<")
 
 
 def bounded_series(samples: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:

@@ -1,74 +1,64 @@
-"""Status snapshots: INI text in a message body to (section, key, value)."""
+"""Status snapshots: INI text in a message body to (section, key, value).
+
+A body is parsed once, in Arrow batches: as nested expressions the same rules cost
+several comparisons of every option with every other one, outside generated code.
+"""
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.sizes import let
-
 DEFAULT_SECTION = "DEFAULT"
-# An indented line goes on with the value above it; this character stands for its line break.
+_ENTRY = pa.struct([("section", pa.string()), ("key", pa.string()), ("value", pa.string())])
+# an indented line goes on with the value above it
+_CONTINUED = re.compile(r"\n[ \t]+(?=[^\s\[])", re.ASCII)
+_SECTION = re.compile(r"^\[", re.MULTILINE)
+_HALVES = re.compile(r"\s*[=:]\s*", re.ASCII)
 _JOIN = "\u0001"
 
 
-def _options(lines: Column) -> Column:
-    """The key/value pairs of a section's lines; comment lines and blank lines have none."""
-    halves = F.transform(lines, lambda line: F.split(line, r"\s*[=:]\s*", 2))
-    named = F.filter(
-        halves, lambda h: (F.size(h) == 2) & ~F.substring(F.ltrim(h[0]), 1, 1).isin("", "#", ";", "[")
-    )
-    return F.transform(
-        named,
-        lambda h: F.struct(
-            F.lower(F.trim(h[0])).alias("key"), F.translate(F.rtrim(h[1]), _JOIN, "\n").alias("value")
-        ),
-    )
-
-
-def _last_of_each(pairs: Column) -> Column:
-    """Pairs whose key does not come again later."""
-    keys = F.transform(pairs, lambda p: p["key"])
-    return let(
-        F.struct(pairs.alias("pairs"), F.reverse(keys).alias("keys"), F.size(pairs).alias("n")),
-        lambda s: F.filter(
-            s["pairs"], lambda p, i: F.array_position(s["keys"], p["key"]) == s["n"] - i
-        ),
-    )
+def parse_snapshot(body: str) -> dict[str, dict[str, str]]:
+    """Options by section: those of the DEFAULT section show in every section that does not
+    set them, and the last of repeated options wins. Comment and blank lines have none."""
+    found: dict[str, dict[str, str]] = {}
+    for chunk in _SECTION.split(_CONTINUED.sub(_JOIN, body.replace("\r", "")))[1:]:
+        options = found.setdefault(chunk.partition("]")[0], {})
+        for line in chunk.split("\n"):
+            name, *value = _HALVES.split(line, maxsplit=1)
+            if value and name.lstrip(" ")[:1] not in ("", "#", ";", "["):
+                options[name.strip(" ").lower()] = value[0].rstrip(" ").replace(_JOIN, "\n")
+    defaults = found.get(DEFAULT_SECTION, {})
+    return {section: defaults | options for section, options in found.items()}
+
+
+def _parse_all(bodies: pa.Array) -> pa.Array:
+    offsets, sections, keys, values = [0], [], [], []
+    for body in bodies.to_pylist():
+        if body is None:
+            offsets[-1:] = [None, len(keys)]
+            continue
+        for section, options in parse_snapshot(body).items():
+            sections += [section] * len(options)
+            keys += options.keys()
+            values += options.values()
+        offsets.append(len(keys))
+    entries = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in (sections, keys, values)], fields=list(_ENTRY))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
+
+
+@lru_cache(maxsize=1)
+def _parser():
+    return F.arrow_udf(_parse_all, "array<struct<section:string,key:string,value:string>>")
 
 
 def snapshot_entries(body: Column) -> Column:
-    """All (section, key, value) of a snapshot, in the row: options of the DEFAULT section show
-    in every section that does not set them, and the last of repeated options wins."""
-    text = F.regexp_replace(F.regexp_replace(body, "\r", ""), r"\n[ \t]+(?=[^\s\[])", _JOIN)
-    chunks = F.slice(F.split(text, r"(?m)^\["), F.lit(2), F.lit(2**30))
-    parsed = F.transform(
-        chunks,
-        lambda c: F.struct(
-            F.substring_index(c, "]", 1).alias("section"),
-            _options(F.split(c, "\n")).alias("pairs"),
-        ),
-    )
-
-    def merged(found: Column) -> Column:
-        def pairs_of(name: Column) -> Column:
-            return F.flatten(F.transform(F.filter(found, lambda s: s["section"] == name), lambda s: s["pairs"]))
-
-        def with_defaults(defaults: Column) -> Column:
-            names = F.array_distinct(F.transform(found, lambda s: s["section"]))
-            return F.flatten(
-                F.transform(
-                    names,
-                    lambda n: F.transform(
-                        let(F.concat(defaults, pairs_of(n)), _last_of_each),
-                        lambda p: F.struct(n.alias("section"), p["key"].alias("key"), p["value"].alias("value")),
-                    ),
-                )
-            )
-
-        return let(pairs_of(F.lit(DEFAULT_SECTION)), with_defaults)
-
-    return let(parsed, merged)
+    """All (section, key, value) of a snapshot, in the row; null for a null body."""
+    return _parser()(body)
 
 
 def read_snapshots(messages: DataFrame) -> DataFrame:
