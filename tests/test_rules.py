@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.sizes import fixed
 from tidewire.operators import batches as B
+from tidewire.operators import machine
 from tidewire.operators import marks as M
 from tidewire.operators import payloads as P
 from tidewire.operators import select as S
@@ -20,7 +21,7 @@ from tidewire.sources.logs import parse_logs
 from tidewire.sources.pages import page_links
 from tidewire.sources.snapshots import parse_snapshot
 from tidewire.streaming.archive import StreamArchive
-from test_batches import SCHEMA
+from test_batches import SCHEMA, START, feed
 
 
 def test_joining_split_files_is_the_identity(spark):
@@ -147,3 +148,25 @@ def test_snapshots_equal_the_configuration_parser():
         expected = {n: dict(known[n]) for n in known.sections()}
         got = parse_snapshot(text)
         assert {n: v for n, v in got.items() if n != "DEFAULT"} == expected, text
+
+
+@pytest.mark.parametrize("gap,span,limit", [(60, 0, 0), (0, 300, 0), (60, 300, 2), (0, 0, 3), (0, 300, 2)])
+def test_reasons_equal_the_machine(spark, gap, span, limit):
+    rows = feed(5)
+    low, high = START + timedelta(seconds=200), START + timedelta(seconds=4000)
+    options = B.BatchOptions(gap=gap or None, span=span or None, max_messages=limit, start=str(low), stop=str(high))
+    placed = B.batch_feed(spark.createDataFrame(rows, SCHEMA), options, block_size=16)
+    got = {(r.newsgroup, r.batch_id): r.reason for r in B.feed_report(placed, options, 16).collect()}
+    states, expected = {}, {}
+    for group, article, when, _, _ in rows:
+        state = states.setdefault(group, machine.OpenBatch())
+        t, was = int((when - datetime(1970, 1, 1)).total_seconds()) * 10**6, state.batch_id
+        action, reason = machine.step(state, article, t, low <= when <= high, True, gap * 10**6, span * 10**6, limit)
+        if reason:
+            expected[group, was] = reason
+        if action == machine.SAVED:
+            expected.setdefault((group, state.batch_id), None)
+            now = state.batch_id
+            if machine.after(state, span, gap, limit):
+                expected[group, now] = machine.COUNT
+    assert got == expected

@@ -183,6 +183,29 @@ def _(t):
     return B.batch_feed(t.late_feed, options, block_size=BLOCK * 100)
 
 
+@query(
+    "f7_feed_report",
+    _F6_MIXED.replace("AS n, t AS last_t", "AS n, t AS last_t, NULL::VARCHAR AS reason, article_number AS was_open")
+    .replace("ELSE s.last_t END\n", "ELSE s.last_t END, s.reason, s.was_open\n")
+    .replace(
+        "AS opens\n",
+        "AS opens, w.open_id AS was_open, CASE WHEN m.t - w.last_t >= 1800000000 THEN 'Time gap' "
+        "WHEN floor(m.t / 14400000000) <> floor(w.last_t / 14400000000) THEN 'Time span' END AS reason\n",
+    )
+    .replace(
+        "SELECT newsgroup, article_number, msg_time, n_bytes, action, batch_id FROM walk",
+        """SELECT b.newsgroup, b.batch_id, start_time, last_time, n_msgs, n_bytes, reason FROM (
+             SELECT newsgroup, batch_id, arg_min(msg_time, article_number) AS start_time, arg_max(msg_time, article_number) AS last_time,
+                    count(*) AS n_msgs, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM walk WHERE batch_id IS NOT NULL GROUP BY 1, 2) b
+           LEFT JOIN (SELECT newsgroup, was_open AS batch_id, arg_min(reason, article_number) AS reason FROM walk WHERE reason IS NOT NULL GROUP BY 1, 2) c
+           ON b.newsgroup = c.newsgroup AND b.batch_id = c.batch_id""",
+    ),
+)
+def _(t):
+    options = B.BatchOptions(gap="30m", span="4h", max_messages=3)
+    return B.feed_report(B.batch_feed(t.late_feed, options, block_size=BLOCK * 100), options, BLOCK * 100)
+
+
 @query(
     "f7_batch_report",
     f"""WITH {GAP_BATCHES}

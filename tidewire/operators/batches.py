@@ -314,6 +314,40 @@ def batch_report(batched: DataFrame, reason: str) -> DataFrame:
     )
 
 
+def closing_reasons(placed: DataFrame, options: BatchOptions, block_size: int = scan.BLOCK) -> DataFrame:
+    """Why each closed batch of a :func:`batch_feed` result was closed: ``newsgroup, batch_id, reason``.
+
+    While a batch is open the rule looks back at its last saved message only. So the first
+    later message that is out of range, a gap or another span away from that one is what
+    closed it; one blocked scan carries the last saved message along. A batch closed by
+    count is full."""
+    gap, span, limit = duration_micros(options.gap or 0), duration_micros(options.span or 0), options.max_messages
+    t, saved = micros(F.col("msg_time")), F.col("action") == machine.SAVED
+    last = scan.last_known(F.when(saved, F.struct("batch_id", t.alias("t"))), inclusive=False)
+    rows = placed.select("newsgroup", "article_number", "msg_time", "action", "batch_id")
+    seen = scan.running(rows, ["newsgroup"], "article_number", {"__saved": last}, block_size).filter("__saved IS NOT NULL")
+    before = F.col("__saved")["t"]
+    reason = F.when(F.col("action") == machine.OUT_OF_RANGE, machine.RANGE)
+    if gap:
+        reason = reason.when(t - before >= gap, machine.GAP)
+    if span:
+        reason = reason.when(F.floor(t / F.lit(span)) != F.floor(before / F.lit(span)), machine.SPAN)
+    closing = seen.select("newsgroup", F.col("__saved")["batch_id"].alias("batch_id"), "article_number", reason.alias("reason"))
+    closed = closing.filter("reason IS NOT NULL").groupBy("newsgroup", "batch_id").agg(F.min_by("reason", "article_number").alias("reason"))
+    if not limit or gap or span:
+        return closed
+    full = placed.filter(saved).groupBy("newsgroup", "batch_id").count().filter(F.col("count") >= limit)
+    full = full.select("newsgroup", "batch_id", F.lit(machine.COUNT).alias("full"))
+    both = closed.join(full, ["newsgroup", "batch_id"], "full_outer")
+    return both.select("newsgroup", "batch_id", F.coalesce("full", "reason").alias("reason"))
+
+
+def feed_report(placed: DataFrame, options: BatchOptions, block_size: int = scan.BLOCK) -> DataFrame:
+    """Per batch of a :func:`batch_feed` result its figures and why it was closed; null while it is open."""
+    batches = batch_table(placed.filter(F.col("action") == machine.SAVED))
+    return batches.join(closing_reasons(placed, options, block_size), ["newsgroup", "batch_id"], "left")
+
+
 def _file_line(prefix: Column) -> Column:
     units = F.when(F.col("n_msgs") > 1, "msgs").otherwise("msg")
     return F.concat(

@@ -14,7 +14,9 @@ import numpy as np
 import pandas as pd
 
 SAVED, REJECTED, SKIPPED, OUT_OF_RANGE = "saved", "rejected", "skipped", "out_of_range"
+# The reasons of a report.
 GAP, SPAN, COUNT, TIMEOUT = "Time gap", "Time span", "Max message count reached", "Time out reached"
+RANGE = "Out of range"
 
 
 @dataclass
@@ -35,7 +37,7 @@ def step(state: OpenBatch, article: int, t: int, in_range: bool, has_files: bool
     if not in_range:
         state.close()
         state.last = t
-        return OUT_OF_RANGE, ("Out of range" if was_open else None)
+        return OUT_OF_RANGE, (RANGE if was_open else None)
     reason = None
     if gap and t - state.last >= gap:
         reason = GAP if was_open else None
