@@ -109,6 +109,33 @@ def test_carried_state_goes_on(spark):
     assert canonical(got) == canonical(loop(rows, 60, 300, 2))
 
 
+@pytest.mark.parametrize("with_files", [False, True])
+def test_gap_form_carries_what_the_rule_carries(spark, with_files):
+    rows = feed(9)
+    options = B.BatchOptions(gap=60, max_messages=2, start=str(START + timedelta(seconds=300)), stop=str(START + timedelta(seconds=5000)))
+    has = F.col("has") if with_files else None
+    parts = [spark.createDataFrame([r for r in rows if low < r[1] <= high], SCHEMA) for low, high in ((0, 50), (50, 90), (90, 200))]
+    state = spark.createDataFrame([], "newsgroup string, batch_id bigint, n bigint, last bigint")
+    for part in parts:
+        quick = B.batch_feed(part, options, has, carried=state, block_size=16)
+        slow = B.batch_feed(part, options, has, carried=state, block_size=16, exact_only=True)
+        assert quick.columns == slow.columns
+        assert sorted(map(tuple, quick.collect()), key=str) == sorted(map(tuple, slow.collect()), key=str)
+        last = slow.groupBy("newsgroup").agg(F.max_by(F.struct("open_id", "open_n", "open_last"), "article_number").alias("s"))
+        state = spark.createDataFrame(
+            last.selectExpr("newsgroup", "s.open_id", "s.open_n", "s.open_last").collect(), state.schema
+        )
+
+
+def test_a_never_idle_feed_is_many_tasks(spark):
+    """Half the messages have no files and none is a gap late: no Python task per feed in the plan."""
+    rows = [("hot", n, START + timedelta(seconds=n), 1, n % 2 == 0) for n in range(1, 400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    batched = B.batch_feed(df, B.BatchOptions(gap=60, max_messages=5), F.col("has"), block_size=16)
+    assert "MapInPandas" not in batched._jdf.queryExecution().toString()
+    assert {b for a, b in collected(batched).values() if a == "saved"} == {2}
+
+
 def test_merge_equals_greedy(spark):
     rng = random.Random(3)
     feeds = ["x", "y", "z"]

@@ -167,3 +167,19 @@ def test_next_tick(spark):
         datetime(2024, 1, 1, 0, 10), datetime(2024, 1, 1, 0, 11),
         datetime(2024, 1, 1, 0, 12), datetime(2024, 1, 1, 0, 10),
     ]
+
+
+def test_log_name_patterns(spark):
+    from tidewire.operators.select import log_name_matches
+
+    names = ["a", "a/b", "a/b/c", "a.b", "ab", "a/", "a(b)/c"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+
+    def kept(*patterns):
+        return [r["name"] for r in df.where(log_name_matches(F.col("name"), patterns)).collect()]
+
+    assert kept("a/*") == ["a/b"]
+    assert kept("a/**") == ["a/b", "a/b/c", "a/"]
+    assert kept("a.b") == ["a.b"] and kept("a(b)/*") == ["a(b)/c"]
+    assert kept("!a/b", "a/**") == ["a/b/c", "a/"]
+    assert kept("**/c", "*") == ["a", "a/b/c", "a.b", "ab", "a(b)/c"]

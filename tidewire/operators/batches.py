@@ -182,11 +182,15 @@ def batch_feed(
     limit = options.max_messages
     rows = feed_rows(messages, options, has_files)
 
+    by_gap = gap and not span and not exact_only and (has_files is not None or carried is not None)
     sequential = exact_only or carried is not None or (gap and (has_files is not None or (span and limit)))
     columns = ["newsgroup", "article_number", from_micros(F.col("t")).alias("msg_time"), "n_bytes", "action", "batch_id"]
     if not sequential:
         return _closed_form(rows, options, gap, span, limit, block_size).select(*columns)
-    out = _sequential(rows, options, gap, span, limit, carried, block_size)
+    if by_gap:
+        out = _gap_form(rows, gap, carried, block_size)
+    else:
+        out = _sequential(rows, options, gap, span, limit, carried, block_size)
     if carried is not None:
         columns += ["open_id", "open_n", "open_last"]
     return out.select(*columns)
@@ -239,6 +243,61 @@ def _closed_form(rows, options, gap, span, limit, block_size) -> DataFrame:
     return cut.select(*_ROWS, "action", F.when(F.col("action") == machine.SAVED, F.col("run")).alias("batch_id"))
 
 
+def _gap_form(rows, gap, carried, block_size) -> DataFrame:
+    """The rule with a gap and without a span, where the count never closes a batch.
+
+    A batch ends at the first message that is out of range or a gap past the batch's last
+    saved message, whether or not it has files itself. So a saved message opens a batch if
+    such a message came since the saved one before it. Three blocked scans find that, even
+    for a feed that is never idle."""
+    if carried is None:
+        state = rows.select("*", *(F.lit(None).cast("bigint").alias(c) for c in ("__id", "__n", "__last")))
+    else:
+        known = carried.filter("n > 0").select(
+            "newsgroup", F.col("batch_id").alias("__id"), F.col("n").alias("__n"), F.col("last").alias("__last")
+        )
+        state = rows.join(known, "newsgroup", "left")
+    usable = F.col("in_range") & F.col("has_files")
+    here = F.struct(F.col("article_number").alias("at"), F.col("t").alias("t"))
+    seen = scan.running(
+        state, FEED, "article_number", {"__saved": scan.last_known(F.when(usable, here), inclusive=False)}, block_size
+    )
+    # what an earlier run left open was saved before all articles of this one
+    entered = F.struct(F.lit(-(1 << 63)).cast("bigint").alias("at"), F.col("__last").alias("t"))
+    saved = F.coalesce(F.col("__saved"), F.when(F.col("__n").isNotNull(), entered))
+    seen = seen.withColumn("__saved", saved)
+    ends = ~F.col("in_range") | (F.col("t") - F.col("__saved")["t"] >= F.lit(gap))
+    seen = seen.withColumn("__ends", F.when(ends, F.col("article_number")))
+    counted = scan.running(
+        seen, FEED, "article_number",
+        {"__end": scan.running_max(F.col("__ends")), "__count": scan.running_sum(usable.cast("bigint"))}, block_size,
+    )
+    goes_on = F.coalesce(F.col("__saved").isNotNull() & ~F.coalesce(F.col("__end") > F.col("__saved")["at"], F.lit(False)), F.lit(False))
+    counted = counted.withColumn("__goes_on", goes_on)
+    opened = F.struct(F.col("article_number").alias("id"), (F.col("__count") - 1).alias("before"))
+    opening = F.when(usable & ~F.col("__goes_on"), opened)
+    placed = scan.running(counted, FEED, "article_number", {"__open": scan.last_known(opening)}, block_size)
+    batch = F.coalesce(F.col("__open")["id"], F.col("__id"))
+    is_open = usable | F.col("__goes_on")
+    action = (
+        F.when(~F.col("in_range"), machine.OUT_OF_RANGE)
+        .when(~F.col("has_files"), machine.SKIPPED)
+        .otherwise(machine.SAVED)
+    )
+
+    def while_open(value: Column) -> Column:
+        return F.when(is_open, value).otherwise(0).cast("bigint")
+
+    return placed.select(
+        *_ROWS,
+        action.alias("action"),
+        F.when(usable, batch).alias("batch_id"),
+        while_open(batch).alias("open_id"),
+        while_open(F.col("__count") - F.coalesce(F.col("__open")["before"], -F.col("__n"))).alias("open_n"),
+        while_open(F.when(usable, F.col("t")).otherwise(F.col("__saved")["t"])).alias("open_last"),
+    )
+
+
 def _sequential(rows, options, gap, span, limit, carried, block_size) -> DataFrame:
     cut = segments(rows, options, block_size)
     if carried is None:

@@ -9,6 +9,7 @@ from tidewire.functions.times import duration_micros, elapsed, from_micros, micr
 from tidewire.plans import scan
 from tidewire.plans.joins import join_measured
 
+# The texts, labels and time format of notices and boards below are output.
 NOTICE_TIME = "%a, %d %b %Y %H:%M:%S UTC"
 
 
