@@ -109,6 +109,18 @@ def test_documents(spark, documents):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_different_texts_of_one_id(spark, documents):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    docs = documents(one, two, three, None).withColumn("root", F.lit("clash"))
+    again = docs.where("doc_id in (1, 2)").withColumn("doc_id", F.when(F.col("doc_id") == 1, 0).otherwise(2).cast("long"))
+    nobody = docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))
+    copies = docs.where("doc_id = 0").withColumn("doc_id", F.lit(3).cast("long"))
+    kept = simhash.keep_one(docs.union(again).union(nobody).union(copies))
+    assert kept.columns == docs.columns
+    # 0: two texts, two groups; 1 and 3 are copies of texts of 0, but 3 has an own (empty) text too
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(0, one), (0, two), (2, three), (3, None), (None, one)], key=str)
+
+
 def test_components_of_a_path(spark):
     n = 400
     path = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")

@@ -169,28 +169,43 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) per row of docs: component_id is the smallest
-    doc_id among all rows whose fingerprints are connected by links of at most `bits`."""
+    """(doc_id, fp, component_id, root) per row of docs: component_id is the smallest
+    doc_id among all rows whose fingerprints are connected by links of at most `bits`,
+    root the smallest of these fingerprints."""
     prints = stage(fingerprints(docs, shingle), "fingerprints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct.select("fp"), bits)).withColumnRenamed("node", "fp")
     named = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = stage(named, "classes")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = stage(named.join(smallest, "root").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = stage(named.join(smallest, "root").select("fp", "component_id", "root"), "classes")
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
     """Of each component the document with the smallest doc_id, in the columns of docs.
 
-    Of rows that repeat a doc_id within a component one stays. A row without doc_id
-    cannot be told from others by name and stays. Only the ids to drop are joined
-    with the texts; where their table is small, Spark broadcasts it."""
+    Of rows that repeat this doc_id within the component one stays. Different texts may
+    share a doc_id: each component keeps one of them all the same, which takes the
+    fingerprints of such rows once more. A row without doc_id cannot be told from others
+    by name and stays. Only ids that are dropped or repeated are joined with the texts;
+    where their table is small, Spark broadcasts it."""
     classes = stage(near_duplicates(docs, shingle, bits), "components")
-    gone = stage(classes.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = stage(classes.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    heads = F.bool_or(F.col("doc_id") == F.col("component_id")).alias("heads")
+    ids = classes.where("doc_id is not null").groupBy("doc_id").agg(heads, F.count("*").alias("n"))
+    decided = stage(ids.where("not heads or n > 1").select("doc_id", "heads"), "decided")
+    kept = docs.join(decided.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    again = decided.where("heads").select("doc_id")
     if again.isEmpty():
         return kept
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    stay = classes.where("doc_id = component_id").join(again, "doc_id", "left_semi").select("doc_id", "fp", "root").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(found, pa.int64()), "row": batch.column("row")})
+
+    whole = docs.join(again, "doc_id", "left_semi").select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    schema = whole.select("doc_id", F.lit(0).cast("long").alias("fp"), "row").schema
+    one = whole.mapInArrow(run, schema).join(stay, ["doc_id", "fp"]).dropDuplicates(["doc_id", "root"])
+    return kept.union(one.select("row.*"))
