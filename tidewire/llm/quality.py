@@ -13,7 +13,8 @@ whole. Scoring is one narrow pass over every text, to its end.
 
 Defined results: null and empty texts have no features and get the score of the
 model's bias; labels are one per doc_id (the mean of repeated ones, at least one half
-is good), null labels and labels of null ids are ignored; with labels of one class
+is good), null labels and labels of null ids are ignored; of the texts that share a
+labelled doc_id the fit takes the first in sorting order; with labels of one class
 or none every score is that class's share (0.5 if there are none). Repeated rows
 score alike. Other columns are ignored, or kept by `keep_good`.
 """
@@ -182,7 +183,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Model:
 
     kept_back = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(5)) == 0
     # at most max_rows rows, so broadcasting them is safe at every size of docs
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", kept_back.alias("held"))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # one text per id, so that an id with very many rows does not fill the task of the fit
+    labelled = labelled.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
+    labelled = labelled.select("text", "quality", kept_back.alias("held"))
     coded = labelled.mapInArrow(places, "quality int, held boolean, places binary")
     ordered = coded.repartition(1).sortWithinPartitions("places", "quality")
     row = ordered.mapInArrow(train, "weights binary, slope double, bias double").first()
