@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import ann, chat, decontam, licenses, packing, pii, quality, simhash, token_files, urls
+from tidewire.llm import ann, chat, clusters, decontam, licenses, minmax, packing, pii, quality, resample, simhash, sql, token_files, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(fn, sql: str | None = None):
+def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
 
@@ -123,3 +123,23 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return chat.recover(turns, chat.fit(turns))
+
+
+@query
+def op11_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minmax.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+@query
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, min_words=20, seed=42)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, size=64, scale=64, seed=1)
+
+
+SQL |= {"op11_minmax": sql.OP11, "op12_resample": sql.OP12, "op13_clusters": sql.OP13}
