@@ -83,12 +83,25 @@ def test_sets_larger_than_a_chunk(monkeypatch):
         assert (a == b).all()
 
 
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 31, 33, 64, 65, 700, 5000):
+        one = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        for share in (0.0, 0.05, 0.2, 0.6):
+            two = np.unique(np.concatenate([one[rng.random(len(one)) >= share], rng.integers(0, 1 << 63, int(n * share / 3), np.uint64)]))
+            alone = len(np.setxor1d(one, two))
+            differ = minmax.apart(minmax.sketch(one)[None, :], minmax.sketch(two)[None, :])
+            assert differ[0] <= alone and (n < 600 or share != 0.05 or differ[0] > 0.7 * alone)
+            if 100 * (len(one) + len(two) - alone) >= 85 * (len(one) + len(two) + alone):
+                assert minmax.allowed(differ, np.array([len(one) + len(two)]), 85)[0]
+
+
 def test_chains_equal_brute_force(spark, documents, monkeypatch):
     texts = drifting(random.Random(8), 260)
     expected = brute(list(enumerate(texts)))
-    for part, sweeps in ((4096, 3), (7, 1)):
+    for part, leaders in ((2048, 2), (7, 1)):
         monkeypatch.setattr(minmax, "PART", part)
-        monkeypatch.setattr(minmax, "SWEEPS", sweeps)
+        monkeypatch.setattr(minmax, "LEADERS", leaders)
         assert found(minmax.near_duplicates(documents(*texts))) == expected
 
 

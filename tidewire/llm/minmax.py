@@ -9,14 +9,17 @@ ones more rarely. Sets that share a band are candidates, whatever their number.
 
 Links are confirmed on the full sets. Documents with equal sets are one class before the
 bands are made, so copies cost nothing there. In a bucket (the classes that share a band)
-pairs are not written out: a sweep pairs every class with one class of its buckets, that of
-another component with which it shares most bands, among one leader a bucket; confirmed
-pairs become links, links components. What sweeps leave is done exactly: in buckets with
-more than one component, classes outside the bucket's largest component meet all classes of
-other components. Of these pairs those go whose sizes rule a link out, and those whose
-signatures agree in less than `cut` of the places, six standard deviations below the
-similarity asked for; all others are confirmed on the full sets. Buckets and classes with
-very many partners are dealt over several tasks.
+pairs are not written out. First every class meets two leaders of each of its buckets;
+confirmed pairs become links, links components. Then, in buckets with more than one
+component, classes outside the bucket's largest component meet the classes of other
+components, in blocks of bounded size: once to take each class's best partner in each other
+component, and once, after those links, all that is left. Buckets and classes with very
+many partners are dealt over several tasks.
+
+What meets is first held against odd sketches: bit maps, at least two bits a shingle, in
+which every shingle flips one bit. Two sketches differ in no more bits than the sets have
+shingles that are in one of them alone, so a pair that the sketches rule out is no link: the
+filter loses nothing.
 
 Defined results: null and empty texts and texts of white space alone have no shingles and
 are linked with nothing: their component is their own doc_id, also where rows repeat it.
@@ -43,9 +46,9 @@ from tidewire.plans.storage import stage
 
 PERMUTATIONS, ROWS = 48, 4
 BANDS = 2 * PERMUTATIONS // ROWS
-SWEEPS = 3
+LEADERS = 2
 #: Members of a bucket, or partners of a class, that one task gets.
-PART = 4096
+PART = 2048
 _RNG = np.random.default_rng(20240)
 _FACTORS = _RNG.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
@@ -58,11 +61,6 @@ def missed(similarity: float) -> float:
     return (1 - similarity**ROWS) ** BANDS
 
 
-def cut(similarity: float) -> float:
-    """The share of agreeing signature values, six standard deviations below the similarity."""
-    return similarity - 6 * (similarity * (1 - similarity) / (2 * PERMUTATIONS)) ** 0.5
-
-
 def shingles(text: str | None, size: int) -> np.ndarray:
     """The distinct 64-bit hashes of a text's word shingles, ascending."""
     words = solid_words(text)
@@ -101,8 +99,41 @@ def bands_of(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return (mixed * np.uint64(0x9E3779B97F4A7C15)) ^ np.arange(BANDS, dtype=np.uint64)
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """The odd sketch of a set: bytes, a power of two of them, at least two bits for each member."""
+    bits = 64 << max(0, len(found) - 1 >> 5).bit_length()
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def folded(sketches: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (a row each) brought down to fewer bytes."""
+    while sketches.shape[1] > size:
+        sketches = sketches[:, : sketches.shape[1] // 2] ^ sketches[:, sketches.shape[1] // 2 :]
+    return sketches
+
+
+def _by_length(sketches: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of the sketches of each length."""
+    lengths = np.array([len(x) for x in sketches])
+    places = [np.flatnonzero(lengths == n) for n in np.unique(lengths)]
+    return [(at, np.frombuffer(b"".join([sketches[i] for i in at]), np.uint8).reshape(len(at), -1)) for at in places]
+
+
+def apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Differing bits of sketches of any two lengths; rows are paired as numpy pairs them."""
+    size = min(one.shape[-1], two.shape[-1])
+    flat = [folded(x.reshape(-1, x.shape[-1]), size).view(np.uint64).reshape(*x.shape[:-1], -1) for x in (one, two)]
+    return np.bitwise_count(flat[0] ^ flat[1]).sum(-1, dtype=np.int64)
+
+
+def allowed(differ: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes in sum may be links if at least so many members are in one alone."""
+    return (100 + percent) * differ <= (100 - percent) * sizes
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_hash, n, digest, bands, signature) per document; one narrow pass."""
+    """(doc_id, text_hash, n, digest, bands, sketch) per document; one narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,9 +146,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     first, held, sets = i + 1, 0, []
 
     def pack(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-        low, high = extremes(sets)
-        keys = bands_of(low, high).view(np.int64)
-        agree = np.stack([low, high], 2).reshape(len(sets), -1) >> np.uint64(17)
+        keys = bands_of(*extremes(sets)).view(np.int64)
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
         return pa.RecordBatch.from_pydict(
             {
@@ -126,13 +155,13 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 "n": pa.array([len(s) for s in sets], pa.int64()),
                 "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 "bands": bands,
-                "signature": pa.array([row.tobytes() for row in agree.astype(np.uint8)], pa.binary()),
+                "sketch": pa.array([sketch(s).tobytes() for s in sets], pa.binary()),
             }
         )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, digest binary, bands array<long>, signature binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, digest binary, bands array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -183,55 +212,111 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("n") - F.col("both"))).select("a", "b")
 
 
-def _sizes_allow(n: str, m: str, percent: int):
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
-
-
-def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """The bucket members with their component, of buckets that still hold more than one."""
-    if roots is None:
-        return members.withColumn("root", F.col("node"))
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     return rooted.join(mixed.select("bucket"), "bucket", "left_semi")
 
 
-def _sweep(members: DataFrame, sweep: int, percent: int) -> DataFrame:
-    """One pair (a, b) at most for every class: with the leader of other component that shares most buckets."""
-    order = F.xxhash64("node", F.lit(sweep))
-    leader = members.groupBy("bucket").agg(F.min_by(F.struct("node", "root", "n"), order).alias("leader"))
-    met = members.join(leader, "bucket").where(F.col("root") != F.col("leader")["root"])
-    met = met.where(100 * F.least(F.col("n"), F.col("leader")["n"]) >= percent * F.greatest(F.col("n"), F.col("leader")["n"]))
-    shared = met.groupBy(F.col("node").alias("a"), F.col("leader")["node"].alias("b")).agg(F.count("*").alias("times"))
-    return shared.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
+def _led(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of every class with the leaders of its buckets that sizes and sketches allow."""
+    chosen = [F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(i))) for i in range(LEADERS)]
+    leaders = members.groupBy("bucket").agg(F.array_distinct(F.array(*chosen)).alias("leaders"))
+    met = members.join(leaders, "bucket").select("node", "n", F.explode("leaders").alias("leader"))
+    fits = 100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n")
+    pairs = met.where((F.col("node") != F.col("leader.node")) & fits)
+    pairs = pairs.select(F.greatest("node", "leader.node").alias("a"), F.least("node", "leader.node").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            may = np.zeros(batch.num_rows, bool)
+            sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            others = batch.column("sketch_b").to_pylist()
+            for at, mine in _by_length(batch.column("sketch_a").to_pylist()):
+                for there, theirs in _by_length([others[i] for i in at]):
+                    may[at[there]] = allowed(apart(mine[there], theirs), sizes[at[there]], percent)
+            yield batch.select(["a", "b"]).filter(pa.array(may))
+
+    return pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def _rest(members: DataFrame, signature: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of different components in one bucket that sizes and signatures do not rule out."""
+def _across(members: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket that sizes and sketches allow: all of them, or
+    for each class that meets a component in a block the best one."""
     by_root = members.groupBy("bucket", "root").agg(F.count("*").alias("k"))
     facts = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
     parts, visits = F.ceil(F.col("all") / PART), F.ceil((F.col("all") - F.col("most")) / PART)
     facts = stage(facts.select("bucket", "main", parts.alias("parts"), F.greatest(visits, F.lit(1)).alias("visits")), "buckets")
-    rows = members.join(facts, "bucket")
+    rows = members.join(classes.select("node", "sketch"), "node").join(facts, "bucket")
 
     def every(upto: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(upto) - 1))
 
-    home = rows.select("bucket", "node", "n", "root", F.pmod(F.xxhash64("node"), "parts").alias("i"), every("visits").alias("j"))
-    guest = rows.where("root <> main").withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), "visits"))
-    guest = guest.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), "j", every("parts").alias("i"))
-    met = home.join(guest, ["bucket", "i", "j"]).where("root <> other_root").where(_sizes_allow("n", "m", percent))
-    pairs = met.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-    least = int(np.floor(cut(percent / 100) * 2 * PERMUTATIONS))
+    columns = ["bucket", "i", "j", "home", "node", "root", "n", "sketch"]
+    home = rows.withColumn("i", F.pmod(F.xxhash64("node"), "parts")).withColumn("j", every("visits")).withColumn("home", F.lit(True))
+    guest = rows.where("root <> main").withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), "visits")).withColumn("i", every("parts"))
+    dealt = home.select(columns).union(guest.withColumn("home", F.lit(False)).select(columns))
+    block = ["bucket", "i", "j"]
+    dealt = dealt.repartition(*block).sortWithinPartitions(*block, "home", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((one == two).sum(1) >= least))
+        for some in blocks(batches):
+            for a, b in _meet(some, percent, best):
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    for side in ("a", "b"):
-        pairs = pairs.join(signature.select(F.col("node").alias(side), F.col("signature").alias(f"sig_{side}")), side)
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """The rows of each block: at most PART homes and as many guests, by their expected number."""
+        held, now = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in block], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for first, last in zip(cuts, cuts[1:]):
+                if first == last:
+                    continue
+                if held and tuple(keys[first]) != now:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                now = tuple(keys[first])
+                held.append(batch.slice(first, last - first))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _meet(block: pa.Table, percent: int, best: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (greater, lesser node) of homes and guests of other components in one block."""
+    home = block.column("home").to_numpy()
+    node, root, n = (block.column(c).to_numpy() for c in ("node", "root", "n"))
+    sketches = block.column("sketch").to_pylist()
+    at_home, guests = np.flatnonzero(home), np.flatnonzero(~home)
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    for here, mine in _by_length([sketches[i] for i in at_home]):
+        for there, theirs in _by_length([sketches[i] for i in guests]):
+            if max(mine.shape[1], theirs.shape[1]) > 4 * min(mine.shape[1], theirs.shape[1]):
+                continue  # sizes that differ so much are no links
+            step = max(1, (1 << 24) // max(1, mine.shape[1] * len(here)))
+            for k in range(0, len(there), step):
+                g, h = guests[there[k : k + step]], at_home[here]
+                differ = apart(mine[None, :, :], theirs[k : k + step][:, None, :])
+                sizes = n[g][:, None] + n[h][None, :]
+                may = allowed(differ, sizes, percent) & (root[g][:, None] != root[h][None, :])
+                may &= 100 * np.minimum(n[g][:, None], n[h][None, :]) >= percent * np.maximum(n[g][:, None], n[h][None, :])
+                x, y = np.nonzero(may)
+                one, two = node[g[x]], node[h[y]]
+                if not best:
+                    if len(one):
+                        yield np.maximum(one, two), np.minimum(one, two)
+                    continue
+                for value, a, b, r in zip(differ[x, y].tolist(), one.tolist(), two.tolist(), root[h[y]].tolist()):
+                    if (a, r) not in found or (value, b) < found[a, r]:
+                        found[a, r] = (value, b)
+    if found:
+        one, two = np.array([a for a, _ in found]), np.array([b for _, b in found.values()])
+        yield np.maximum(one, two), np.minimum(one, two)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
@@ -241,7 +326,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     prints = stage(signatures(docs, shingle), "signatures")
     full = prints.where("n > 0")
     rep = F.any_value(F.struct("doc_id", "text_hash")).alias("rep")
-    same = full.groupBy("digest").agg(F.min("doc_id").alias("first"), rep, F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature"))
+    same = full.groupBy("digest").agg(F.min("doc_id").alias("first"), rep, *(F.any_value(c).alias(c) for c in ("n", "bands", "sketch")))
     classes = stage(same.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     banded = classes.select("node", "n", F.explode("bands").alias("bucket"))
@@ -250,18 +335,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     wanted = classes.join(members.select("node").distinct(), "node", "left_semi")
     sets = stage(_sets(docs, wanted, shingle), "sets")
 
-    links, roots = [], None
-    for sweep in range(SWEEPS):
-        still = stage(_open(members, roots), "open")
-        new = stage(_confirmed(stage(_sweep(still, sweep, percent), "pairs"), sets, percent), "links")
-        links.append(new)
-        if new.isEmpty():
-            break
+    links = [stage(_confirmed(stage(_led(members, classes, percent), "pairs"), sets, percent), "links")]
+    for best in (True, False):
         roots = stage(components(reduce(DataFrame.union, links)), "roots")
-    pairs = stage(_rest(stage(_open(members, roots), "open"), classes, percent), "pairs")
-    if not pairs.isEmpty():
+        pairs = stage(_across(stage(_open(members, roots), "open"), classes, percent, best), "pairs")
+        if pairs.isEmpty():
+            break
         links.append(stage(_confirmed(pairs, sets, percent), "links"))
-    roots = components(reduce(DataFrame.union, links)).select("node", "root")
+        if links[-1].isEmpty() and not best:
+            break
+    else:
+        roots = components(reduce(DataFrame.union, links))
 
     named = classes.select("node", "digest", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stage(named, "named")
