@@ -64,3 +64,17 @@ def test_removal(spark, documents):
     assert sorted(rows) == [0, 2, 3]
     assert rows[0]["text"] == f"{rest} ! {rest}" and rows[0]["n_chars"] == len(rows[0]["text"])
     assert rows[2]["text"] == "clean text" and rows[3]["text"] is None and rows[2]["keep"] == "k"
+
+
+def test_removal_does_not_depend_on_the_number_of_automata(spark, documents, monkeypatch):
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(12)]
+    rest = " ".join(f"r{i}" for i in range(15))
+    texts = [f"{rest} {items[k][1]} {items[(k + 1 + k % 5) % 12][1]}" for k in range(12)] + [f"{rest} {rest} {t}" for _, t in items] + [None, ""]
+    docs = documents(*texts).withColumn("hits", F.lit("own")).withColumn("row", F.lit(1))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontam.remove_contamination(docs, bench).collect()))
+    assert 12 <= len(whole) < len(texts)
+    for words in (100, 20):
+        monkeypatch.setattr(decontam, "AUTOMATON_WORDS", words)
+        assert len(list(decontam.automata(bench, 10))) > 1
+        assert sorted(map(tuple, decontam.remove_contamination(docs, bench).collect())) == whole

@@ -68,3 +68,21 @@ def test_repeated_matches_and_half_matches(spark, documents):
     rows = licenses.scan(documents(f"{mit} between words {mit}", half)).collect()
     assert [(r["doc_id"], r["template"], r["coverage"]) for r in rows] == [(0, "MIT", 1.0)] * 2
     assert licenses.scan(documents(half), coverage=0.4).first()["coverage"] > 0.4
+
+
+def test_overlaps_whatever_the_number_of_matches(spark, documents):
+    words = [f"t{i}" for i in range(40)]
+    index = licenses.Index({"one": " ".join(words)})
+    known = licenses._Hashes()
+
+    def scan(text):
+        found = text.split()
+        found = [w.encode() for w in found]
+        return index.scan(found, np.array([known[w] for w in found], np.uint64), 0.5)
+
+    twice = " ".join(words + words[20:])
+    alone = scan(twice)
+    many = scan(" ".join([twice, *[" ".join(["gap"] * 60 + words)] * 100]))
+    assert many[: len(alone)] == alone and len(many) == len(alone) + 100
+    spans = sorted((m.first, m.last) for m in many)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))

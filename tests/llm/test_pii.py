@@ -73,3 +73,20 @@ def test_overlapping_entities(spark, documents):
     text = "call +1 555 010 2345 1111 or 10.0.0.1 x"
     clean = pii.sanitise(documents(text)).first()["text"]
     assert clean == "call [PHONE] or [IP] x" if any(k == "phone" for k, *_ in brute(text)) else "10.0" not in clean
+
+
+def test_words_at_the_edges_of_texts(spark, documents):
+    texts = [f"zanzibar reach{i} alice@corp.example" for i in range(6)] + [f"alice@corp.example quagga" for _ in range(3)]
+    texts += [f"bob@corp.example {'x' * 10}{i} longword" for i in range(6)] + ["something else", None]
+    docs = documents(*texts)
+    got = {r["term"] for r in pii.disclosing_terms(docs, threshold=0.0, support=2).collect()}
+    assert {"zanzibar", "quagga"} <= got
+    # the window ends inside the last word: a part of a word is no term
+    cut = {r["term"] for r in pii.disclosing_terms(docs, threshold=0.0, support=2, context=17).collect()}
+    assert not {t for t in cut if t != "longword" and "longword".startswith(t)} and "longword" not in cut
+    clash = docs
+    for name in ("pii_key", "pii_entities", "pii_terms", "pii_spans", "pii_strong", "pii_done", "pii_clean", "pii_row"):
+        clash = clash.withColumn(name, F.lit("own"))
+    rows = pii.sanitise(clash, support=2, threshold=0.5).collect()
+    assert rows[0].asDict().keys() == set(clash.columns) and all(r[c] == "own" for r in rows for c in clash.columns if c.startswith("pii_"))
+    assert sorted(str(r["text"]) for r in rows) == sorted(str(r["text"]) for r in pii.sanitise(docs, support=2, threshold=0.5).collect())

@@ -199,37 +199,57 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10
     """Documents without the passages of the benchmark, in the columns they had.
 
     Every hit span goes from the text. A document of whose words more than
-    max_coverage are hit goes altogether. n_chars, where there is one, follows."""
-    for automaton in automata(benchmark, window):
-        docs = _cleaned(docs, automaton, max_coverage)
-    return docs
-
-
-def _cleaned(docs: DataFrame, automaton: Automaton, max_coverage: float) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(automaton)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = held.value
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            keep = np.ones(len(texts), bool)
-            changed = {}
-            for r, text in enumerate(texts):
-                words = alnum_words(text)
-                spans, _ = machine.scan(words)
-                if spans:
-                    keep[r] = sum(b - a + 1 for a, b in spans) <= max_coverage * len(words)
-                    changed[r] = without(text, spans)
-            if changed:
-                texts = [changed.get(r, text) for r, text in enumerate(texts)]
-                batch = replaced(batch, "text", pa.array(texts, batch.schema.field("text").type))
-                if "n_chars" in batch.schema.names:
-                    old = batch.column("n_chars").to_pylist()
-                    sizes = [len(texts[r]) if r in changed else old[r] for r in range(len(texts))]
-                    batch = replaced(batch, "n_chars", pa.array(sizes, batch.schema.field("n_chars").type))
-            yield batch if keep.all() else batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    max_coverage are hit goes altogether. n_chars, where there is one, follows.
+    All automata look at the text as it was; their spans are merged before they are
+    judged, so into how many automata a benchmark is cut does not matter."""
+    machines = list(automata(benchmark, window))
+    if len(machines) == 1:
+        return docs.mapInArrow(lambda batches, of=docs.sparkSession.sparkContext.broadcast(machines[0]): _cleaned(batches, of, max_coverage), docs.schema)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.array().cast("array<struct<first:long,last:long>>").alias("hits"))
+    schema = rows.schema
+    for k, machine in enumerate(machines):
+        held = docs.sparkSession.sparkContext.broadcast(machine)
+        if k == len(machines) - 1:
+            return rows.mapInArrow(lambda batches, of=held: _cleaned(batches, of, max_coverage, True), docs.schema)
+        rows = stage(rows.mapInArrow(lambda batches, of=held: _marked(batches, of), schema), "decontaminate")
+
+
+def _marked(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    """Batches (row, hits) with the hits of one more automaton."""
+    for batch in batches:
+        texts = pa.RecordBatch.from_struct_array(batch.column("row")).column("text").to_pylist()
+        hits = [[{"first": a, "last": b} for a, b in merged(spans + held.value.scan(alnum_words(text))[0])] for text, spans in zip(texts, _spans_of(batch))]
+        yield replaced(batch, "hits", pa.array(hits, batch.schema.field("hits").type))
+
+
+def _spans_of(batch: pa.RecordBatch) -> list[list[tuple[int, int]]]:
+    return [[(x["first"], x["last"]) for x in row] for row in batch.column("hits").to_pylist()]
+
+
+def _cleaned(batches: Iterator[pa.RecordBatch], held, max_coverage: float, marked: bool = False) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        before = _spans_of(batch) if marked else None
+        if marked:
+            batch = pa.RecordBatch.from_struct_array(batch.column("row"))
+        texts = batch.column("text").to_pylist()
+        keep = np.ones(len(texts), bool)
+        changed = {}
+        for r, text in enumerate(texts):
+            words = alnum_words(text)
+            spans, _ = held.value.scan(words)
+            if marked:
+                spans = merged(spans + before[r])
+            if spans:
+                keep[r] = sum(b - a + 1 for a, b in spans) <= max_coverage * len(words)
+                changed[r] = without(text, spans)
+        if changed:
+            texts = [changed.get(r, text) for r, text in enumerate(texts)]
+            batch = replaced(batch, "text", pa.array(texts, batch.schema.field("text").type))
+            if "n_chars" in batch.schema.names:
+                old = batch.column("n_chars").to_pylist()
+                sizes = [len(texts[r]) if r in changed else old[r] for r in range(len(texts))]
+                batch = replaced(batch, "n_chars", pa.array(sizes, batch.schema.field("n_chars").type))
+        yield batch if keep.all() else batch.filter(pa.array(keep))
 
 
 def replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:

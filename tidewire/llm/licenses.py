@@ -19,6 +19,7 @@ ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -155,8 +156,13 @@ class Index:
             if matched >= coverage * len(self.words[t]):
                 out.append(Match(self.names[t], matched, len(self.words[t]), first, last))
         kept: list[Match] = []
+        taken: dict[str, list[tuple[int, int]]] = {}  # per template the words of its matches so far, ascending and apart
         for m in sorted(out, key=lambda m: (m.template, -m.matched, m.first, m.last)):
-            if not any(k.template == m.template and k.first <= m.last and m.first <= k.last for k in kept[-64:]):
+            spans = taken.setdefault(m.template, [])
+            at = bisect_left(spans, (m.first, m.last))
+            free = (at == 0 or spans[at - 1][1] < m.first) and (at == len(spans) or m.last < spans[at][0])
+            if free:
+                spans.insert(at, (m.first, m.last))
                 kept.append(m)
         return sorted(kept, key=lambda m: (m.first, m.last, m.template))
 

@@ -45,6 +45,7 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NOT_WORD = r"[^\p{L}\p{N}]+"
+_WORD = r"[\p{L}\p{N}]"
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "gone": ""}
 
 
@@ -102,18 +103,21 @@ def disclosing_terms(docs: DataFrame, context: int = 120, threshold: float = 0.9
 
     def around(span: Column) -> Column:
         left = F.greatest(span["start"] - context, F.lit(0))
+        # a word that the window cuts in two is not one: it goes, but only where the text goes on beyond
+        beyond = F.substring(F.col("text"), left, F.lit(1))
         before = F.substring(F.col("text"), left + 1, span["start"] - left)
+        before = F.when((left > 0) & beyond.rlike(_WORD), F.regexp_replace(before, f"^{_WORD}+", "")).otherwise(before)
         after = F.substring(F.col("text"), span["end"] + 1, F.lit(context))
+        beyond = F.substring(F.col("text"), span["end"] + F.lit(context + 1), F.lit(1))
+        after = F.when(beyond.rlike(_WORD), F.regexp_replace(after, f"{_WORD}+$", "")).otherwise(after)
         return F.struct(F.concat_ws(":", span["kind"], span["value"]).alias("entity"), F.concat_ws(" ", before, after).alias("near"))
 
     seen = marked.select(F.monotonically_increasing_id().alias("row"), F.explode(F.transform("spans", around)).alias("x")).select("row", "x.*")
     for pattern in PATTERNS.values():
         seen = seen.withColumn("near", F.regexp_replace("near", pattern, " "))
-    # a word that the context cuts in two is not one: drop the outermost words
     words = F.filter(F.split(_folded(F.col("near")), _NOT_WORD), lambda t: F.length(t) >= shortest)
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     # per document each entity and each pair once, so that counts are documents
-    rows = stage(seen.select("row", "entity", F.explode_outer(F.array_distinct(inner)).alias("term")).distinct(), "contexts")
+    rows = stage(seen.select("row", "entity", F.explode_outer(F.array_distinct(words)).alias("term")).distinct(), "contexts")
     entities = rows.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
     pairs = rows.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("df_both")).where(F.col("df_both") >= support)
     pairs = stage(pairs.join(entities, "entity"), "pairs")
@@ -160,7 +164,7 @@ def sanitise(docs: DataFrame, shortest: int = 3, remove_from: float = 0.999, **o
     """docs with placeholders for entities and generalised terms, and without the terms
     that disclose at least remove_from. n_chars, where there is one, follows."""
     revealing = stage(disclosing_terms(docs.select("text"), shortest=shortest, **options), "terms")
-    held = _with_terms(docs, revealing, shortest)
+    held = _with_terms(docs.select(F.struct(*docs.columns).alias("pii_row"), "text"), revealing, shortest)
     strong = F.transform(F.filter("pii_terms", lambda t: t["disclosure"] >= remove_from), lambda t: t["term"])
     held = held.withColumn("pii_spans", _all_spans(F.col("pii_entities"), F.col("pii_terms"))).withColumn("pii_strong", strong)
 
@@ -181,7 +185,7 @@ def sanitise(docs: DataFrame, shortest: int = 3, remove_from: float = 0.999, **o
     rest = F.substring(F.col("text"), F.col("pii_done.at") + 1, F.length("text"))
     held = held.withColumn("pii_done", F.when(F.size("pii_spans") > 0, F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)))
     clean = F.when(F.size("pii_spans") > 0, F.concat("pii_done.out", rest)).otherwise(F.col("text"))
-    sizes = {}
-    if "n_chars" in docs.columns:
-        sizes["n_chars"] = F.when(F.size("pii_spans") > 0, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return held.withColumns({"pii_clean": clean, **sizes}).withColumn("text", F.col("pii_clean")).select(docs.columns)
+    own = {c: F.col("pii_row")[c] for c in docs.columns} | {"text": clean}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.size("pii_spans") > 0, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return held.select(*(value.alias(name) for name, value in own.items()))
