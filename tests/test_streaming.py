@@ -3,10 +3,14 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewire.operators import batches as B
 from tidewire.plans.storage import shared_path
+from tidewire.operators import payloads as P
+from tidewire.sinks.raw import open_root
 from tidewire.streaming.archive import StreamArchive, StreamJoin
+from tidewire.streaming.commits import ArchiveLog
 from tidewire.streaming.status import StreamLatest
 
 from test_batches import SCHEMA, canonical, collected, feed, loop
@@ -56,3 +60,100 @@ def test_latest_forgets_all_after_silence(spark):
     assert latest.current(0).count() == 0
     latest.apply(spark.createDataFrame([("c", 1, "n")], schema), 1)
     assert {r.newsgroup for r in latest.current(1).collect()} == {"c"}
+
+
+FILES = "newsgroup string, article_number bigint, msg_time timestamp_ntz, n_bytes bigint, part_no int, dest string, content binary"
+
+
+def with_files(rows):
+    """None, one or two files a message, in four destinations of a feed."""
+    out = []
+    for group, article, when, size, has in rows:
+        n = 1 + article % 2 if has else 0
+        out += [(group, article, when, size, k, f"d{(article + k) % 4}", f"{group}{article}.{k};".encode() * (1 + article % 3)) for k in range(n)]
+        if not n:
+            out.append((group, article, when, size, None, None, None))
+    return out
+
+
+def tree(root):
+    fs, base = open_root(root)
+    from pyarrow.fs import FileSelector, FileType
+
+    found = fs.get_file_info(FileSelector(base, recursive=True))
+    plain = [f for f in found if f.type == FileType.File and not f.base_name.startswith(".")]
+    return {f.path[len(base) + 1 :]: fs.open_input_stream(f.path).read() for f in plain}
+
+
+@pytest.mark.parametrize("options", [{"gap": 60}, {"max_messages": 7}])
+def test_reports_and_files_of_a_stream_equal_those_of_the_batch_form(spark, options):
+    rows = feed(11)
+    options = B.BatchOptions(**options)
+    whole = spark.createDataFrame(with_files(rows), FILES)
+    messages = whole.groupBy("newsgroup", "article_number").agg(*(F.first(c).alias(c) for c in ("msg_time", "n_bytes")), F.bool_or(F.col("dest").isNotNull()).alias("has"))
+    placed = B.batch_feed(messages, options, F.col("has"), block_size=16)
+    wanted = B.feed_report(placed, options, block_size=16).filter("reason IS NOT NULL")
+    files = whole.filter("dest IS NOT NULL").join(placed.filter("action = 'saved'").select("newsgroup", "article_number", "batch_id"), ["newsgroup", "article_number"])
+    expected = shared_path(spark, "expected")
+    P.write_archive(files.select("newsgroup", "article_number", "part_no", "batch_id", "dest", "content"), expected, max_messages=0, block_size=16).count()
+
+    root = shared_path(spark, "t")
+    log = ArchiveLog(spark, f"{root}/log", max_messages=0, chunk_bytes=20, block_size=16)
+    archive = StreamArchive(spark, root, options, block_size=16, log=log)
+    cuts = [0, 33, 90, 10**6]
+    for epoch, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        part = spark.createDataFrame([r for r in with_files(rows) if low < r[1] <= high], FILES)
+        if epoch == 1:
+            commit, log.commit = log.commit, lambda epoch: None
+            archive.apply(part, epoch)  # killed between writing and the commit
+            log.commit = commit
+            assert log.last() == 0
+        archive.apply(part, epoch)  # and run again
+        assert log.last() == epoch
+        if epoch != 1:
+            log.publish(f"{root}/plain").count()
+    columns = wanted.columns
+    assert sorted(map(tuple, archive.reports.all().select(columns).collect())) == sorted(map(tuple, wanted.collect()))
+    assert tree(f"{root}/plain") == tree(expected)
+    listed = {f"{r.newsgroup}/{r.dest}": r.n_bytes for r in log.listing().collect()}
+    assert listed == {k: len(v) for k, v in tree(expected).items()}
+
+
+def test_uncommitted_bytes_are_not_published(spark):
+    root = shared_path(spark, "t")
+    log = ArchiveLog(spark, f"{root}/log", chunk_bytes=4)
+    schema = "newsgroup string, dest string, article_number bigint, part_no int, batch_id bigint, content binary"
+
+    def put(epoch, *rows, commit=True):
+        log.write(spark.createDataFrame([("g", *r) for r in rows], schema), epoch)
+        if commit:
+            log.commit(epoch)
+        return log.publish(f"{root}/plain").count()
+
+    assert log.last() == -1 and log.chunks().count() == 0
+    assert put(0, ("f", 1, 0, 1, b"one,"), ("f", 2, 0, 1, b"two,"), ("h", 2, 1, 1, b"h")) == 2
+    assert put(1, ("f", 3, 0, 1, b"three,"), commit=False) == 0
+    assert tree(f"{root}/plain") == {"g/f": b"one,two,", "g/h": b"h"}
+    assert put(1, ("f", 3, 0, 1, b"three,")) == 1
+    assert tree(f"{root}/plain")["g/f"] == b"one,two,three,"
+    # a publication that was killed half way left a beginning of the file: only the rest is added
+    fs, base = open_root(f"{root}/plain")
+    with fs.open_output_stream(f"{base}/g/f") as out:
+        out.write(b"one,t")
+    assert put(2, ("h", 9, 0, 5, b"anew")) == 2
+    assert tree(f"{root}/plain") == {"g/f": b"one,two,three,", "g/h": b"anew"}
+    assert put(3, ("h", 10, 0, 1, b"an earlier batch does not come back")) == 0
+    row = {r.dest: r for r in log.listing().collect()}
+    assert (row["f"].n_files, row["f"].since, row["h"].n_files, row["h"].since) == (3, 0, 1, 2)
+
+
+def test_one_file_a_message_and_files_that_stay(spark):
+    schema = "newsgroup string, dest string, article_number bigint, part_no int, batch_id bigint, content binary"
+    steps = [[("g", "f", 1, 0, 1, b"a"), ("g", "f", 2, 0, 1, b"b")], [("g", "f", 3, 0, 1, b"c"), ("g", "k", 3, 1, 1, b"k")]]
+    for kind, expected in (({"max_messages": 1}, b"c"), ({"overwrite": False}, b"a")):
+        root = shared_path(spark, "t")
+        log = ArchiveLog(spark, f"{root}/log", **kind)
+        for epoch, rows in enumerate(steps):
+            log.append(spark.createDataFrame(rows, schema), epoch)
+            log.publish(f"{root}/plain").count()
+        assert tree(f"{root}/plain") == {"g/f": expected, "g/k": b"k"}

@@ -183,8 +183,7 @@ def _(t):
     return B.batch_feed(t.late_feed, options, block_size=BLOCK * 100)
 
 
-@query(
-    "f7_feed_report",
+FEED_REPORT_SQL = (
     _F6_MIXED.replace("AS n, t AS last_t", "AS n, t AS last_t, NULL::VARCHAR AS reason, article_number AS was_open")
     .replace("ELSE s.last_t END\n", "ELSE s.last_t END, s.reason, s.was_open\n")
     .replace(
@@ -199,8 +198,11 @@ def _(t):
                     count(*) AS n_msgs, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM walk WHERE batch_id IS NOT NULL GROUP BY 1, 2) b
            LEFT JOIN (SELECT newsgroup, was_open AS batch_id, arg_min(reason, article_number) AS reason FROM walk WHERE reason IS NOT NULL GROUP BY 1, 2) c
            ON b.newsgroup = c.newsgroup AND b.batch_id = c.batch_id""",
-    ),
+    )
 )
+
+
+@query("f7_feed_report", FEED_REPORT_SQL)
 def _(t):
     options = B.BatchOptions(gap="30m", span="4h", max_messages=3)
     return B.feed_report(B.batch_feed(t.late_feed, options, block_size=BLOCK * 100), options, BLOCK * 100)

@@ -4,14 +4,15 @@ shared folder, and the query goes on from its checkpoint after each."""
 from pyspark.sql import functions as F
 
 from tidewire.catalog import query
-from tidewire.catalog.batching import _F6_MIXED
+from tidewire.catalog.batching import _F6_MIXED, FEED_REPORT_SQL
 from tidewire.catalog.intake import LOGS_SQL, log_tree
 from tidewire.catalog.payloads import split_messages
 from tidewire.catalog.payloads import messages as relay_messages
 from tidewire.operators.batches import BatchOptions
-from tidewire.plans.storage import shared_path
+from tidewire.plans.storage import shared_path, stage
 from tidewire.sources.logs import read_logs
 from tidewire.streaming.archive import StreamArchive, StreamJoin
+from tidewire.streaming.commits import ArchiveLog
 from tidewire.streaming.epochs import EpochTable, run_batches
 from tidewire.streaming.flows import StreamLogs, stream_relay
 from tidewire.streaming.status import StreamLatest, StreamStates, stream_status
@@ -50,6 +51,43 @@ def _(t):
     return archive.messages.all().select("newsgroup", "article_number", "msg_time", "n_bytes", "action", "batch_id")
 
 
+def archived(t, log=None):
+    """The whole late feed, archived in steps; with a log, the file of each message into one per site."""
+    root = shared_path(t.spark, "archive")
+    options = BatchOptions(gap="30m", span="4h", max_messages=3)
+    archive = StreamArchive(t.spark, root, options, block_size=BLOCK * 100, log=log and log(root))
+    extra = ["concat(site, '.dat') AS dest", "0 AS part_no", "CAST(props AS BINARY) AS content"] if log else []
+    feed = t.late_feed.selectExpr("newsgroup", "article_number", "msg_time", "n_bytes", *extra)
+    step = F.least(F.floor(F.col("article_number") / (BLOCK * 20)), F.lit(STEPS - 1))
+    replay(t, feed, step, lambda s: run_batches(s, archive.apply, f"{root}/checkpoint"))
+    return archive, root
+
+
+@query("l1_stream_reports", f"SELECT * FROM ({FEED_REPORT_SQL}) WHERE reason IS NOT NULL")
+def _(t):
+    archive, _ = archived(t)
+    return archive.reports.all().drop("epoch")
+
+
+@query(
+    "l1_stream_files",
+    f"""WITH placed AS ({_F6_MIXED}),
+        named AS (SELECT p.newsgroup, p.article_number, p.batch_id, f.site, f.props,
+                         max(p.batch_id) OVER (PARTITION BY p.newsgroup, f.site) AS last
+                  FROM placed p JOIN late_feed f ON p.newsgroup = f.newsgroup AND p.article_number = f.article_number
+                  WHERE p.batch_id IS NOT NULL)
+        SELECT concat(newsgroup, '/', site, '.dat') AS dest, md5(string_agg(props, '' ORDER BY article_number)) AS digest,
+               CAST(sum(octet_length(encode(props))) AS BIGINT) AS n_bytes
+        FROM named WHERE batch_id = last GROUP BY 1""",
+)
+def _(t):
+    archive, root = archived(t, lambda root: ArchiveLog(t.spark, f"{root}/log", max_messages=3, chunk_bytes=100, block_size=BLOCK * 100))
+    stage(archive.log.publish(f"{root}/published"), "published")
+    there = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/published")
+    dest = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
+    return there.select(dest.alias("dest"), F.md5("content").alias("digest"), F.col("length").alias("n_bytes"))
+
+
 @query(
     "l2_stream_states",
     """WITH flagged AS (SELECT *, lag(state) OVER w AS prev FROM observations WINDOW w AS (PARTITION BY member ORDER BY seq)),

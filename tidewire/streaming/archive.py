@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.times import duration_micros
-from tidewire.operators.batches import BatchOptions, batch_feed
-from tidewire.operators.machine import SAVED, TIMEOUT
+from tidewire.functions.times import duration_micros, from_micros
+from tidewire.operators.batches import BatchOptions, batch_feed, batch_table, closing_reasons
+from tidewire.operators.machine import COUNT, SAVED, TIMEOUT
 from tidewire.operators.payloads import FILE, INCOMPLETE, assemblies, join_parts
 from tidewire.plans import scan
+from tidewire.streaming.commits import ArchiveLog
 from tidewire.streaming.epochs import EpochTable
 
 MESSAGES = (
@@ -21,18 +23,37 @@ MESSAGES = (
 )
 OPEN = "newsgroup string, batch_id bigint, n bigint, last bigint, poll_time double"
 TIMED_OUT = "newsgroup string, batch_id bigint, n_msgs bigint, reason string"
+FIGURES = "newsgroup string, batch_id bigint, start_time timestamp_ntz, last_time timestamp_ntz, n_msgs bigint, n_bytes bigint"
+REPORTS = f"{FIGURES}, reason string"
 
 
 def clock() -> float:
     return time.time()
 
 
+def _together(before: DataFrame, here: DataFrame) -> DataFrame:
+    """Figures of batches, those of earlier micro-batches first."""
+    both = before.withColumn("__order", F.lit(0)).unionByName(here.withColumn("__order", F.lit(1)))
+    return both.groupBy("newsgroup", "batch_id").agg(
+        F.min_by("start_time", "__order").alias("start_time"),
+        F.max_by("last_time", "__order").alias("last_time"),
+        F.sum("n_msgs").alias("n_msgs"),
+        F.sum("n_bytes").alias("n_bytes"),
+    )
+
+
 class StreamArchive:
     """Batches of a feed across micro-batches, by the same rule as a whole feed at once.
 
     ``root/messages`` has what became of each message, ``root/open`` the open batch of each
     feed, ``root/timed_out`` the batches that closed because nothing was read from their feed
-    for ``timeout``. That is looked at when a micro-batch starts, before its messages."""
+    for ``timeout``. That is looked at when a micro-batch starts, before its messages.
+    ``root/reports`` has a row for each batch that closed, with its figures and the reason;
+    ``root/figures`` those of the batches still open.
+
+    With a ``log``, the files of saved messages go into it: micro-batches then have a row
+    for each file (``dest, part_no, content``), and messages without files are not saved.
+    A message's other columns are the same in all its rows."""
 
     def __init__(
         self,
@@ -42,8 +63,11 @@ class StreamArchive:
         timeout: str | float | None = None,
         now: Callable[[], float] = clock,
         block_size: int = scan.BLOCK,
+        log: ArchiveLog | None = None,
     ):
-        self.options, self.timeout, self.now, self.block_size = options, timeout, now, block_size
+        self.options, self.timeout, self.now, self.block_size, self.log = options, timeout, now, block_size, log
+        self.figures = EpochTable(spark, f"{root}/figures", FIGURES)
+        self.reports = EpochTable(spark, f"{root}/reports", REPORTS)
         self.messages = EpochTable(spark, f"{root}/messages", MESSAGES)
         self.open = EpochTable(spark, f"{root}/open", OPEN)
         self.late = EpochTable(spark, f"{root}/timed_out", TIMED_OUT)
@@ -53,7 +77,12 @@ class StreamArchive:
         before = self.open.read(epoch - 1)
         carried = self.still_open(before, now)
         self.late.write(self._expired(before, now), epoch)
-        placed = batch_feed(batch, self.options, carried=carried, block_size=self.block_size)
+        messages, has_files = batch, None
+        if self.log is not None:
+            row = batch.groupBy("newsgroup", "article_number")
+            messages = row.agg(F.first("msg_time").alias("msg_time"), F.first("n_bytes").alias("n_bytes"), F.bool_or(F.col("dest").isNotNull()).alias("__has"))
+            has_files = F.col("__has")
+        placed = batch_feed(messages, self.options, has_files, carried=carried, block_size=self.block_size)
         stored = self.messages.write(placed, epoch)
         last = stored.groupBy("newsgroup").agg(
             F.max_by(F.struct("open_id", "open_n", "open_last"), "article_number").alias("s")
@@ -66,7 +95,33 @@ class StreamArchive:
             F.lit(now).alias("poll_time"),
         )
         quiet = carried.join(fresh.select("newsgroup"), "newsgroup", "left_anti")
-        self.open.write(quiet.unionByName(fresh).filter(F.col("n") > 0), epoch)
+        still = self.open.write(quiet.unionByName(fresh).filter(F.col("n") > 0), epoch)
+        self._report(stored, carried, still, epoch)
+        if self.log is not None:
+            saved = stored.filter(F.col("action") == SAVED).select("newsgroup", "article_number", "batch_id")
+            files = batch.filter(F.col("dest").isNotNull()).select("newsgroup", "article_number", "part_no", "dest", "content")
+            self.log.append(files.join(saved, ["newsgroup", "article_number"]), epoch)
+
+    def _report(self, stored: DataFrame, carried: DataFrame, still: DataFrame, epoch: int) -> None:
+        """Figures of all batches this micro-batch knows; of those no longer open, the report.
+
+        An open batch of earlier micro-batches takes part as its last saved message. Where
+        only the count closes batches, a full one was closed by it, whatever came later."""
+        keys = ["newsgroup", "batch_id"]
+        here = batch_table(stored.filter(F.col("action") == SAVED))
+        known = _together(self.figures.read(epoch - 1), here)
+        first = F.lit(-(1 << 62)).cast("bigint")  # before all articles
+        time_saved = from_micros(F.col("last"))
+        entered = carried.select("newsgroup", first.alias("article_number"), time_saved.alias("msg_time"), F.lit(SAVED).alias("action"), "batch_id")
+        rows = stored.select("newsgroup", "article_number", "msg_time", "action", "batch_id").unionByName(entered)
+        reasons = closing_reasons(rows, replace(self.options, max_messages=0), self.block_size)
+        late = self.late.read(epoch).select(*keys, F.col("reason").alias("late"))
+        closed = known.join(still.select(*keys), keys, "left_anti").join(reasons, keys, "left").join(late, keys, "left")
+        limit = 0 if self.options.gap or self.options.span else self.options.max_messages
+        full = F.lit(limit > 0) & (F.col("n_msgs") >= limit)
+        reason = F.when(full, COUNT).otherwise(F.coalesce("late", "reason"))
+        self.reports.write(closed.withColumn("reason", reason).drop("late"), epoch)
+        self.figures.write(known.join(still.select(*keys), keys, "left_semi"), epoch)
 
     def still_open(self, state: DataFrame, now: float) -> DataFrame:
         if self.timeout is None:

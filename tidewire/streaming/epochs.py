@@ -33,6 +33,11 @@ class EpochTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self._folder(epoch))
 
+    def exists(self) -> bool:
+        """Whether any micro-batch has been stored."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
     def some(self, epochs: Iterable[int]) -> DataFrame:
         """Rows of some micro-batches, with their epoch."""
         schema = f"{self.schema}, epoch bigint"
