@@ -4,6 +4,7 @@ import configparser
 import html
 import random
 from datetime import datetime, timedelta
+from pathlib import PurePosixPath
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from tidewire.operators import marks as M
 from tidewire.operators import payloads as P
 from tidewire.operators import select as S
 from tidewire.operators import series as I
+from tidewire.operators.naming import parse_commands
 from tidewire.plans import scan
 from tidewire.plans.storage import shared_path
 from tidewire.sources.logs import parse_logs
@@ -150,6 +152,37 @@ def test_snapshots_equal_the_configuration_parser():
         assert {n: v for n, v in got.items() if n != "DEFAULT"} == expected, text
 
 
+def test_continued_values_equal_the_configuration_parser():
+    rng = random.Random(6)
+    for _ in range(4000):
+        lines = ["[s]"]
+        for _ in range(rng.randint(0, 14)):
+            option = f"{rng.choice('aBcd')} {rng.choice('=:')} {rng.choice(['1', 'x  y', 'p=q', '', 'u:v', '[z]'])}"
+            deep = rng.choice(["  ", "\t", "    "])
+            lines.append(rng.choice([f"[{rng.choice(['s', 't u', 'DEFAULT'])}]", option, option, "# note", "; note", "", "   ", f"{deep}# note", f"{deep}more", f"{deep}k = 1", f"{deep}[t]"]))
+        text = "\n".join(lines) + rng.choice(["", "\n", "\n\n"])
+        known = configparser.ConfigParser(strict=False, interpolation=None)
+        try:
+            known.read_string(text)
+        except configparser.ParsingError:
+            continue
+        expected = {n: dict(known[n]) for n in known.sections()}
+        assert {n: v for n, v in parse_snapshot(text).items() if n != "DEFAULT"} == expected, text
+
+
+def test_command_paths_and_parts(spark):
+    names = ["a", "a/b", "/abs/x", "a//b", "./a", "a/.", "", "//two", "///three", "..", "/", "."]
+    parts = "newsgroup string, article_number bigint, body string, parts array<struct<part_no:int,filename:string,content_type:string,content:binary>>"
+    rows = [("g", i, f"start={n}", None) for i, n in enumerate(names)]
+    rows += [("g", 90, "stop=body", [(0, "x", "t", b"Start = one\nno\nstop=two=three"), (1, "y", "t", b"reload=four")]), ("g", 91, None, []), ("g", 92, None, None)]
+    df = spark.createDataFrame(rows, parts)
+    for prefix, postfix in (("Groups", "main"), ("", ""), ("/p/", "q/"), ("", "/post")):
+        got = {r.article_number: r.target for r in parse_commands(df, prefix, postfix).filter("article_number < 90").collect()}
+        assert got == {i: str(PurePosixPath(prefix, n, postfix)) for i, n in enumerate(names)}
+    found = parse_commands(df, "Groups").filter("article_number >= 90").collect()
+    assert sorted((r.part_no, r.line_no, r.command, r.target, r.kind) for r in found) == [(0, 0, "start", "Groups/one", "start"), (1, 0, "reload", "Groups/four", "unknown")]
+
+
 @pytest.mark.parametrize("gap,span,limit", [(60, 0, 0), (0, 300, 0), (60, 300, 2), (0, 0, 3), (0, 300, 2)])
 def test_reasons_equal_the_machine(spark, gap, span, limit):
     rows = feed(5)
@@ -170,3 +203,21 @@ def test_reasons_equal_the_machine(spark, gap, span, limit):
             if machine.after(state, span, gap, limit):
                 expected[group, now] = machine.COUNT
     assert got == expected
+
+
+def test_inputs_are_scanned_once_or_twice(spark, tmp_path, monkeypatch):
+    """However many blocked scans follow each other, what is below them is not doubled by each."""
+    table = str(tmp_path / "feed")
+    spark.createDataFrame(feed(3), SCHEMA).write.parquet(table)
+    read = lambda: spark.read.schema(SCHEMA).parquet(table)
+
+    def scans(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Relation [")
+
+    options = B.BatchOptions(gap=60)
+    assert scans(B.batch_feed(read(), options, F.col("has"), block_size=16)) <= 2
+    mixed = B.BatchOptions(gap=60, span=300, max_messages=2)
+    assert scans(B.feed_report(B.batch_feed(read(), mixed, block_size=16), mixed, 16)) <= 3
+    parts = read().selectExpr("newsgroup", "'f' AS original", "article_number", "0 AS part_no", "1 AS n_parts")
+    assert scans(P.assemblies(parts, 16)) <= 4

@@ -17,6 +17,7 @@ from tidewire.functions.sizes import size_desc
 from tidewire.functions.times import duration, duration_micros, from_micros, micros, strftime
 from tidewire.operators import machine
 from tidewire.plans import scan
+from tidewire.plans.storage import stage
 
 FEED = ["newsgroup"]
 REPORT_TIME = "%c UTC +0000"
@@ -249,7 +250,7 @@ def _gap_form(rows, gap, carried, block_size) -> DataFrame:
     A batch ends at the first message that is out of range or a gap past the batch's last
     saved message, whether or not it has files itself. So a saved message opens a batch if
     such a message came since the saved one before it. Three blocked scans find that, even
-    for a feed that is never idle."""
+    for a feed that is never idle. Starts jobs when called."""
     if carried is None:
         state = rows.select("*", *(F.lit(None).cast("bigint").alias(c) for c in ("__id", "__n", "__last")))
     else:
@@ -267,13 +268,14 @@ def _gap_form(rows, gap, carried, block_size) -> DataFrame:
     saved = F.coalesce(F.col("__saved"), F.when(F.col("__n").isNotNull(), entered))
     seen = seen.withColumn("__saved", saved)
     ends = ~F.col("in_range") | (F.col("t") - F.col("__saved")["t"] >= F.lit(gap))
-    seen = seen.withColumn("__ends", F.when(ends, F.col("article_number")))
+    # Each scan reads its input twice. Written out, what two scans share is worked out once.
+    seen = stage(seen.withColumn("__ends", F.when(ends, F.col("article_number"))), "seen")
     counted = scan.running(
         seen, FEED, "article_number",
         {"__end": scan.running_max(F.col("__ends")), "__count": scan.running_sum(usable.cast("bigint"))}, block_size,
     )
     goes_on = F.coalesce(F.col("__saved").isNotNull() & ~F.coalesce(F.col("__end") > F.col("__saved")["at"], F.lit(False)), F.lit(False))
-    counted = counted.withColumn("__goes_on", goes_on)
+    counted = stage(counted.withColumn("__goes_on", goes_on), "counted")
     opened = F.struct(F.col("article_number").alias("id"), (F.col("__count") - 1).alias("before"))
     opening = F.when(usable & ~F.col("__goes_on"), opened)
     placed = scan.running(counted, FEED, "article_number", {"__open": scan.last_known(opening)}, block_size)
@@ -402,7 +404,11 @@ def closing_reasons(placed: DataFrame, options: BatchOptions, block_size: int =
 
 
 def feed_report(placed: DataFrame, options: BatchOptions, block_size: int = scan.BLOCK) -> DataFrame:
-    """Per batch of a :func:`batch_feed` result its figures and why it was closed; null while it is open."""
+    """Per batch of a :func:`batch_feed` result its figures and why it was closed; null while it is open.
+
+    What became of the messages is written to the shared folder first (narrow rows), so that the
+    batching rule runs once for the figures and the reasons. Starts a job when called."""
+    placed = stage(placed, "placed")
     batches = batch_table(placed.filter(F.col("action") == machine.SAVED))
     return batches.join(closing_reasons(placed, options, block_size), ["newsgroup", "batch_id"], "left")
 

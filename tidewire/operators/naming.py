@@ -103,19 +103,40 @@ def rename(files: DataFrame, rules: Sequence[tuple[str, str]], now: Column) -> D
     return counted.withColumn("filename", final).drop("__base", "__n")
 
 
+def joined_path(*steps: Column) -> Column:
+    """Steps of a path, one below the other: an absolute step replaces what is above it, empty
+    steps, doubled slashes and single dots go, and nothing at all is a dot."""
+    path = F.lit("")
+    for step in steps:
+        below = F.when(path.endswith("/"), path).otherwise(F.concat(path, F.lit("/")))
+        path = F.when(step == "", path).when(step.startswith("/") | (path == ""), step).otherwise(F.concat(below, step))
+    names = F.array_join(F.filter(F.split(path, "/"), lambda n: (n != "") & (n != ".")), "/")
+    lead = F.when(path.rlike("^//(?!/)"), F.lit("//")).when(path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
+    whole = F.concat(lead, names)
+    return F.when(whole == "", F.lit(".")).otherwise(whole)
+
+
 def parse_commands(messages: DataFrame, prefix: str = "", postfix: str = "") -> DataFrame:
-    """Lines ``cmd=name`` of a body: command, target path and kind; other lines are ignored."""
-    lines = messages.select("newsgroup", "article_number", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
+    """Lines ``cmd=name`` of a body: command, target path and kind; other lines are ignored.
+
+    Where messages have ``parts``, those of a message are read instead of its body, and
+    ``part_no`` says which one a line is from (0 for a body)."""
+    place = ["newsgroup", "article_number"]
+    if "parts" in messages.columns:
+        body = F.array(F.struct(F.lit(0).alias("part_no"), F.col("body").alias("text")))
+        texts = F.transform("parts", lambda p: F.struct(p["part_no"].alias("part_no"), p["content"].cast("string").alias("text")))
+        messages = messages.select(*place, F.inline(F.when(F.size("parts") > 0, texts).otherwise(body)))
+        messages = messages.withColumnRenamed("text", "body")
+        place.append("part_no")
+    lines = messages.select(*place, F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
     halves = F.split("line", "=")
     command = F.lower(F.trim(F.get(halves, F.lit(0))))
     name = F.trim(F.get(halves, F.lit(1)))
-    steps = F.filter(F.array(F.lit(prefix), name, F.lit(postfix)), lambda s: s != "")
     return lines.filter(F.size(halves) == 2).select(
-        "newsgroup",
-        "article_number",
+        *place,
         F.col("line_no").cast("bigint").alias("line_no"),
         command.alias("command"),
-        F.array_join(steps, "/").alias("target"),
+        joined_path(F.lit(prefix), name, F.lit(postfix)).alias("target"),
         F.when(command.isin("start", "stop"), command).otherwise("unknown").alias("kind"),
     )
 
@@ -132,5 +153,5 @@ def number_filenames(files: DataFrame, group_dir: bool = False) -> DataFrame:
 
 
 __all__ = [
-    "NameOptions", "archive_name", "first_match_rule", "number_filenames", "parse_commands", "rename", "with_history",
+    "NameOptions", "archive_name", "first_match_rule", "joined_path", "number_filenames", "parse_commands", "rename", "with_history",
 ]

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.content import checksum
 from tidewire.functions.sizes import bytes_value
 from tidewire.plans import scan
+from tidewire.plans.storage import stage
 from tidewire.sinks.raw import write_files
 
 OK, MISMATCH, UNCHECKED, INCOMPLETE = "ok", "mismatch", "no checksum", "incomplete"
@@ -95,12 +96,14 @@ def assemblies(parts: DataFrame, block_size: int = scan.BLOCK) -> DataFrame:
     A file may be posted again and again under one name. Where its parts come in whole
     rounds, the assembly is how often the part number came before, which the blocked scans
     count without gathering the file. Only files whose rounds are broken (lost or repeated
-    parts) are walked in article order, on these narrow columns."""
+    parts) are walked in article order, on these narrow columns. Starts jobs when called."""
     rows = parts.select(*FILE, "article_number", "part_no", "n_parts")
     counted = scan.running(
         rows, [*FILE, "part_no"], "article_number", {"assembly": scan.running_count()}, block_size
     )
-    counted = scan.running(counted, FILE, "article_number", {"position": scan.running_count()}, block_size)
+    # each scan reads its input twice, and both branches below read the result
+    counted = scan.running(stage(counted, "counted"), FILE, "article_number", {"position": scan.running_count()}, block_size)
+    counted = stage(counted, "positions")
     in_round = F.ceil(F.col("position") / F.col("n_parts")) == F.col("assembly")
     files = counted.groupBy(*FILE).agg(
         (F.bool_and(in_round) & (F.min("n_parts") == F.max("n_parts"))).alias("whole_rounds")

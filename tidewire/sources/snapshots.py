@@ -15,25 +15,42 @@ from pyspark.sql import functions as F
 
 DEFAULT_SECTION = "DEFAULT"
 _ENTRY = pa.struct([("section", pa.string()), ("key", pa.string()), ("value", pa.string())])
-# an indented line goes on with the value above it
-_CONTINUED = re.compile(r"\n[ \t]+(?=[^\s\[])", re.ASCII)
-_SECTION = re.compile(r"^\[", re.MULTILINE)
-_HALVES = re.compile(r"\s*[=:]\s*", re.ASCII)
-_JOIN = "\u0001"
+_HEADER = re.compile(r"\[(.+)\]")
+_HALVES = re.compile(r"\s*[=:]\s*")
 
 
 def parse_snapshot(body: str) -> dict[str, dict[str, str]]:
     """Options by section: those of the DEFAULT section show in every section that does not
-    set them, and the last of repeated options wins. Comment and blank lines have none."""
-    found: dict[str, dict[str, str]] = {}
-    for chunk in _SECTION.split(_CONTINUED.sub(_JOIN, body.replace("\r", "")))[1:]:
-        options = found.setdefault(chunk.partition("]")[0], {})
-        for line in chunk.split("\n"):
-            name, *value = _HALVES.split(line, maxsplit=1)
-            if value and name.lstrip(" ")[:1] not in ("", "#", ";", "["):
-                options[name.strip(" ").lower()] = value[0].rstrip(" ").replace(_JOIN, "\n")
-    defaults = found.get(DEFAULT_SECTION, {})
-    return {section: defaults | options for section, options in found.items()}
+    set them, and the last of repeated options wins.
+
+    A line indented deeper than the option above it goes on with its value, also after blank
+    lines, which belong to the value unless they end it, and after comment lines, which do
+    not. Other lines without a name are ignored, and so is what stands before all sections."""
+    found: dict[str, dict[str, list[str]]] = {}
+    options: dict[str, list[str]] | None = None
+    value: list[str] | None = None
+    indent = 0
+    for line in body.split("\n"):
+        text = line.strip()
+        if not text:
+            if value is not None:
+                value.append("")
+            continue
+        if text[0] in "#;":
+            continue
+        if value is not None and line[0] in " \t" and len(line) - len(line.lstrip()) > indent:
+            value.append(text)
+            continue
+        indent, value = len(line) - len(line.lstrip()), None
+        if header := _HEADER.match(text):
+            options = found.setdefault(header[1], {})
+        elif options is not None and text[0] != "[":
+            name, *rest = _HALVES.split(text, maxsplit=1)
+            if rest and name:
+                options[name.lower()] = value = rest
+    plain = {section: {name: "\n".join(parts).rstrip() for name, parts in own.items()} for section, own in found.items()}
+    defaults = plain.get(DEFAULT_SECTION, {})
+    return {section: defaults | own for section, own in plain.items()}
 
 
 def _parse_all(bodies: pa.Array) -> pa.Array:
