@@ -11,7 +11,7 @@ from tidewire.operators import payloads as P
 from tidewire.sinks.raw import open_root
 from tidewire.streaming.archive import StreamArchive, StreamJoin
 from tidewire.streaming.commits import ArchiveLog
-from tidewire.streaming.status import StreamLatest
+from tidewire.streaming.status import StreamLatest, StreamStatus
 
 from test_batches import SCHEMA, canonical, collected, feed, loop
 
@@ -157,3 +157,26 @@ def test_one_file_a_message_and_files_that_stay(spark):
             log.append(spark.createDataFrame(rows, schema), epoch)
             log.publish(f"{root}/plain").count()
         assert tree(f"{root}/plain") == {"g/f": expected, "g/k": b"k"}
+
+
+def test_status_turns_with_a_clock(spark):
+    clock = [0.0]
+    status = StreamStatus(spark, shared_path(spark, "t"), timeout=10, now=lambda: clock[0])
+    at = lambda s: datetime(1970, 1, 1) + timedelta(seconds=s)
+    # (clock, messages): what each micro-batch brings
+    steps = [(5, [("a", 1), ("a", 4), ("b", 2)]), (9, [("b", 8)]), (16, [("b", 15)]), (30, []), (40, [("a", 33), ("a", 39)])]
+    for epoch, (now, rows) in enumerate(steps):
+        clock[0] = float(now)
+        df = spark.createDataFrame([(g, at(s)) for g, s in rows], "newsgroup string, msg_time timestamp_ntz")
+        status.apply(df, epoch)
+    turns = [tuple(r)[:-1] + (r.epoch,) for r in status.turns.all().orderBy("epoch", "newsgroup").collect()]
+    none = None
+    assert turns == [
+        ("a", "online", "unknown", False, at(1), at(1), at(4), none, none, 2, 0),
+        ("b", "online", "unknown", False, at(2), at(2), at(2), none, none, 1, 0),
+        ("a", "offline", "online", True, at(4), at(1), at(4), 3.0, none, 2, 2),
+        ("b", "offline", "online", True, at(15), at(2), at(15), 13.0, none, 3, 3),
+        ("a", "online", "offline", True, at(33), at(33), at(39), none, 29.0, 4, 4),
+    ]
+    feeds = {r.newsgroup: r for r in status.feeds.read(3).collect()}
+    assert (feeds["a"].status, feeds["a"].off_time, feeds["b"].run_time) == ("offline", 26.0, 13.0)

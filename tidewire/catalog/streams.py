@@ -15,7 +15,7 @@ from tidewire.streaming.archive import StreamArchive, StreamJoin
 from tidewire.streaming.commits import ArchiveLog
 from tidewire.streaming.epochs import EpochTable, run_batches
 from tidewire.streaming.flows import StreamLogs, stream_relay
-from tidewire.streaming.status import StreamLatest, StreamStates, stream_status
+from tidewire.streaming.status import StreamLatest, StreamStates, StreamStatus, stream_status
 
 BLOCK = 1 << 14
 STEPS = 3
@@ -104,22 +104,53 @@ def _(t):
 
 @query(
     "l2_stream_status",
-    """SELECT newsgroup, 'online' AS status, 'unknown' AS previous_status, false AS changed, epoch_us(min(msg_time)) AS start_us
+    """SELECT newsgroup, 'online' AS status, 'unknown' AS previous_status, false AS changed, epoch_us(min(msg_time)) AS start_us,
+              epoch_us(max(msg_time)) AS stop_us, count(*) AS n
        FROM feed WHERE day(msg_time) <= 10 GROUP BY newsgroup""",
 )
 def _(t):
     root = shared_path(t.spark, "status")
-    table = EpochTable(t.spark, f"{root}/out", "newsgroup string, status string, previous_status string, changed boolean, start_us bigint")
+    table = EpochTable(t.spark, f"{root}/out", "newsgroup string, status string, previous_status string, changed boolean, start_us bigint, stop_us bigint, n bigint")
 
     def start(stream):
         # no feed is quiet for a day of processing time, so each comes online once
-        changes = stream_status(stream, "1 day").select("newsgroup", "status", "previous_status", "changed", "start_us")
+        changes = stream_status(stream, "1 day")
         return run_batches(changes, lambda df, epoch: table.write(df, epoch) and None, f"{root}/checkpoint", once=True)
 
     replay(t, t.feed.select("newsgroup", "msg_time"), thirds("msg_time"), start)
     return table.all().drop("epoch")
 
 
+# feeds with a c in their names say nothing in the middle third of a month
+_QUIET = "newsgroup NOT LIKE '%c%' OR day(msg_time) NOT BETWEEN 11 AND 20"
+
+
+@query(
+    "l2_stream_turns",
+    f"""WITH stepped AS (SELECT newsgroup, msg_time, least((day(msg_time) - 1) // 10, 2) AS step FROM feed WHERE {_QUIET}),
+       seen AS (SELECT newsgroup, step, min(msg_time) AS first, max(msg_time) AS last, count(*) AS n FROM stepped GROUP BY 1, 2),
+       came AS (SELECT *, step - lag(step) OVER w > 1 AS back, lag(step) OVER w IS NULL AS known, max(last) OVER w AS stop,
+                       lag(last) OVER w AS before, sum(n) OVER w AS total
+                FROM seen WINDOW w AS (PARTITION BY newsgroup ORDER BY step)),
+       runs AS (SELECT *, max(CASE WHEN known OR back THEN first END) OVER (PARTITION BY newsgroup ORDER BY step) AS start,
+                       coalesce(lead(step) OVER (PARTITION BY newsgroup ORDER BY step), 3) - step > 1 AS quiet FROM came)
+       SELECT newsgroup, 'online' AS status, CASE WHEN back THEN 'offline' ELSE 'unknown' END AS previous_status, coalesce(back, false) AS changed,
+              first AS change_time, first AS start_time, stop AS stop_time, CAST(NULL AS DOUBLE) AS run_time,
+              CASE WHEN back THEN (epoch_us(first) - epoch_us(before)) / 1e6 END AS off_time, CAST(total AS BIGINT) AS n
+       FROM runs WHERE known OR back
+       UNION ALL
+       SELECT newsgroup, 'offline', 'online', true, stop, start, stop, (epoch_us(stop) - epoch_us(start)) / 1e6, NULL, CAST(total AS BIGINT)
+       FROM runs WHERE quiet""",
+)
+def _(t):
+    root = shared_path(t.spark, "turns")
+    clock = iter(range(0, 1000, 100))
+    status = StreamStatus(t.spark, root, timeout=50, now=lambda: float(next(clock)))
+    feed = t.feed.select("newsgroup", "msg_time").filter(_QUIET)
+    replay(t, feed, thirds("msg_time"), lambda s: run_batches(s, status.apply, f"{root}/checkpoint"))
+    return status.turns.all().drop("epoch")
+
+
 @query(
     "l3_stream_join_parts",
     """SELECT newsgroup, filename, md5(content_text) AS digest, n_bytes, 'ok' AS status FROM files""",

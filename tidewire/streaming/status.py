@@ -129,6 +129,70 @@ def stream_status(stream: DataFrame, timeout: str | float) -> DataFrame:
 _STATUS_NAMES = ["newsgroup", "status", "previous_status", "changed", "start_us", "stop_us", "n"]
 
 
+TURNS = (
+    "newsgroup string, status string, previous_status string, changed boolean, change_time timestamp_ntz, "
+    "start_time timestamp_ntz, stop_time timestamp_ntz, run_time double, off_time double, n bigint"
+)
+FEEDS = (
+    "newsgroup string, status string, previous_status string, start_time timestamp_ntz, stop_time timestamp_ntz, "
+    "run_time double, off_time double, n bigint, seen double"
+)
+
+
+class StreamStatus:
+    """Status of feeds across micro-batches, in both directions, with run and off times.
+
+    A feed with messages in a micro-batch is online; one that had none for ``timeout`` of the
+    clock goes offline when a micro-batch (of any feed, or an empty one) says so. It started
+    with the first message since it was offline and stopped with its last one: the run time
+    is between these, the off time between its last message and the next first one, or
+    the clock (seconds since 1970) while it is offline.
+
+    ``root/feeds`` has every feed as it stands after a micro-batch, ``root/turns`` a row for
+    each time a status became known or changed (``changed``). Messages are aggregated per
+    feed before their shuffle; the rest is one row per feed."""
+
+    def __init__(self, spark: SparkSession, root: str, timeout: str | float, now: Callable[[], float] = time.time):
+        self.timeout, self.now = timeout, now
+        self.feeds = EpochTable(spark, f"{root}/feeds", FEEDS)
+        self.turns = EpochTable(spark, f"{root}/turns", TURNS)
+
+    def apply(self, batch: DataFrame, epoch: int) -> None:
+        now = self.now()
+        here = batch.groupBy("newsgroup").agg(F.min("msg_time").alias("first"), F.max("msg_time").alias("last"), F.count("*").alias("more"))
+        both = self.feeds.read(epoch - 1).drop("previous_status", "run_time", "off_time").join(here, "newsgroup", "full_outer")
+        came = F.col("more").isNotNull()
+        silent = (F.lit(now) - F.col("seen")) * 1e6 >= duration_micros(self.timeout)
+        was = F.coalesce("status", F.lit("unknown"))
+        both = both.withColumns(
+            {
+                "previous_status": was,
+                "status": F.when(came, "online").when(silent, "offline").otherwise(was),
+                "start_time": F.when(came & (was != "online"), F.col("first")).otherwise(F.col("start_time")),
+                # of a feed that was offline, the last message before it: what the off time counts from
+                "before": F.col("stop_time"),
+                "stop_time": F.when(came, F.greatest("stop_time", "last")).otherwise(F.col("stop_time")),
+                "n": F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0)),
+                "seen": F.when(came, F.lit(now)).otherwise(F.col("seen")),
+            }
+        )
+        online = F.col("status") == "online"
+        returned = online & (F.col("previous_status") == "offline")
+        away = F.when(returned, elapsed(F.col("before"), F.col("start_time"))).when(~online, F.lit(now) - micros(F.col("stop_time")) / 1e6)
+        both = both.withColumn("run_time", elapsed(F.col("start_time"), F.col("stop_time"))).withColumn("off_time", away)
+        stored = self.feeds.write(both.select(*(f.split(" ")[0] for f in FEEDS.split(", "))), epoch)
+        turned = stored.filter("status <> previous_status")
+        online = F.col("status") == "online"
+        self.turns.write(
+            turned.select(
+                "newsgroup", "status", "previous_status", (F.col("previous_status") != "unknown").alias("changed"),
+                F.when(online, F.col("start_time")).otherwise(F.col("stop_time")).alias("change_time"), "start_time", "stop_time",
+                F.when(~online, F.col("run_time")).alias("run_time"), F.when(online, F.col("off_time")).alias("off_time"), "n",
+            ),
+            epoch,
+        )
+
+
 class StreamLatest:
     """The newest message of each feed; all are forgotten when no feed had one for ``timeout``."""
 
