@@ -38,19 +38,23 @@ def spool(t) -> str:
     return root
 
 
-@query(
-    "a1_read_spool",
-    """SELECT newsgroup, article_number, doc_id % 3 < 2 AS is_multipart, CAST(doc_id % 3 < 2 AS INT) AS n_parts, CAST(article_number AS VARCHAR) AS number_header,
-              lang, CASE WHEN doc_id % 3 = 2 THEN md5(content_text) END AS body_md5, CAST(NULL AS VARCHAR) AS error FROM files""",
-)
-def _(t):
+SPOOL_SQL = """SELECT newsgroup, article_number, doc_id % 3 < 2 AS is_multipart, CAST(doc_id % 3 < 2 AS INT) AS n_parts, CAST(article_number AS VARCHAR) AS number_header,
+              lang, CASE WHEN doc_id % 3 = 2 THEN md5(content_text) END AS body_md5, CAST(NULL AS VARCHAR) AS error FROM files"""
+
+
+def spool_rows(messages):
     h = F.col("headers")
-    return S.read_spool(t.spark, spool(t)).select(
+    return messages.select(
         "newsgroup", "article_number", "is_multipart", F.coalesce(F.size("parts"), F.lit(0)).alias("n_parts"),
         h["x-transport-articlenumber"].alias("number_header"), h["x-lang"].alias("lang"), F.md5("body").alias("body_md5"), "error",
     )
 
 
+@query("a1_read_spool", SPOOL_SQL)
+def _(t):
+    return spool_rows(S.read_spool(t.spark, spool(t)))
+
+
 @query(
     "a2_message_files",
     """SELECT newsgroup, article_number, 1 AS part_no, CASE doc_id % 3 WHEN 0 THEN 'part-001.txt' WHEN 1 THEN filename ELSE 'body.txt' END AS filename,

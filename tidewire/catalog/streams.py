@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 
 from tidewire.catalog import query
 from tidewire.catalog.batching import _F6_MIXED, FEED_REPORT_SQL
-from tidewire.catalog.intake import LOGS_SQL, log_tree
+from tidewire.catalog.intake import LOGS_SQL, SPOOL_SQL, log_tree, spool_rows, text_messages, written
 from tidewire.catalog.payloads import split_messages
 from tidewire.catalog.payloads import messages as relay_messages
 from tidewire.operators.batches import BatchOptions
 from tidewire.plans.storage import shared_path, stage
+from tidewire.sinks.posts import write_spool
 from tidewire.sources.logs import read_logs
+from tidewire.sources.spool_stream import stream_spool
 from tidewire.streaming.archive import StreamArchive, StreamJoin
 from tidewire.streaming.commits import ArchiveLog
 from tidewire.streaming.epochs import EpochTable, run_batches
@@ -203,3 +205,16 @@ def _(t):
     h = F.col("headers")
     out = t.spark.read.parquet(f"{root}/out")
     return out.select("newsgroup", "article_number", "msg_time", h["x-site"].alias("site"), h["subject"].alias("subject"))
+
+
+@query("l6_spool_stream", SPOOL_SQL)
+def _(t):
+    root = shared_path(t.spark, "growing")
+    table = EpochTable(t.spark, f"{root}/out", "newsgroup string, article_number bigint, is_multipart boolean, n_parts int, number_header string, lang string, body_md5 string, error string")
+    messages = text_messages(t).drop("group")
+    width = t.documents.count() // STEPS + 1
+    for step in range(STEPS):
+        written(write_spool(messages.filter(F.floor((F.col("article_number") - 1) / width) == step), f"{root}/spool"))
+        stream = spool_rows(stream_spool(t.spark, f"{root}/spool"))
+        run_batches(stream, lambda df, epoch: table.write(df, epoch) and None, f"{root}/checkpoint").awaitTermination()
+    return table.all().drop("epoch")

@@ -41,15 +41,18 @@ def _parse_article(raw: bytes, number: int) -> dict:
     return out
 
 
+def parse_article(raw: bytes, number: int) -> dict:
+    """Headers and contents of an article; of an unreadable one the error only."""
+    try:
+        return _parse_article(raw, number)
+    except (LookupError, ValueError, AttributeError, TypeError) as err:
+        return {"headers": {}, "is_multipart": False, "body": None, "parts": None, "error": f"{type(err).__name__}: {err}"}
+
+
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["headers", "is_multipart", "body", "parts", "error"]
     for frame in frames:
-        rows = []
-        for raw, number in zip(frame["content"], frame["article_number"]):
-            try:
-                rows.append(_parse_article(raw, number))
-            except (LookupError, ValueError, AttributeError, TypeError) as err:
-                rows.append({"headers": {}, "is_multipart": False, "error": f"{type(err).__name__}: {err}"})
+        rows = [parse_article(raw, number) for raw, number in zip(frame["content"], frame["article_number"])]
         parsed = pd.DataFrame(rows, columns=columns)
         parsed["newsgroup"] = frame["newsgroup"].to_numpy()
         parsed["article_number"] = frame["article_number"].to_numpy()
