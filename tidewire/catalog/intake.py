@@ -10,6 +10,7 @@ from tidewire.sinks.raw import write_files
 from tidewire.sources import files as A
 from tidewire.sources import logs as L
 from tidewire.sources import spool as S
+from tidewire.sources.log_ranges import read_log_ranges
 
 BLOCK = 1 << 14
 
@@ -134,14 +135,20 @@ _FIELDS = """concat('Group', user_id % 3, '/', event_type)"""
 def log_tree(t) -> str:
     """Log files of the events: text with some tracebacks, and JSON lines."""
     root = shared_path(t.spark, "logs")
+    text, json = log_lines()
+    t.events.filter("event_id % 2 = 0").selectExpr(f"{text} AS value").write.text(f"{root}/text")
+    t.events.filter("event_id % 2 = 1").selectExpr(f"{json} AS value").write.text(f"{root}/json")
+    return root
+
+
+def log_lines() -> tuple[str, str]:
+    """The text record and the JSON line of an event."""
     level = "CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END"
     stamp = "date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSS')"
     trace = r"CASE WHEN event_type = 'error' THEN concat('\nTraceback (most recent call last):\n  File \"x.py\"\n[see ', event_id, ']') ELSE '' END"
     text = f"concat('[', {stamp}, '   ', {level}, '] ', {_FIELDS}, ': seen ', event_id, {trace})"
     json = f"to_json(named_struct('asctime', {stamp}, 'levelname', {level}, 'name', {_FIELDS}, 'message', concat(' seen ', event_id), 'threadName', 'main'))"
-    t.events.filter("event_id % 2 = 0").selectExpr(f"{text} AS value").write.text(f"{root}/text")
-    t.events.filter("event_id % 2 = 1").selectExpr(f"{json} AS value").write.text(f"{root}/json")
-    return root
+    return text, json
 
 
 LOGS_SQL = f"""SELECT date_trunc('millisecond', ts) AS asctime, CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS levelname,
@@ -156,6 +163,12 @@ def _(t):
     return records.select("asctime", "levelname", "name", "message", "exc_info", F.col("threadName").alias("thread"))
 
 
+@query("a7_read_log_ranges", LOGS_SQL)
+def _(t):
+    records = read_log_ranges(t.spark, log_tree(t), range_bytes=1 << 14)
+    return records.select("asctime", "levelname", "name", "message", "exc_info", F.col("threadName").alias("thread"))
+
+
 @query(
     "a9_spool_activity",
     """WITH parts AS (SELECT *, unnest(range(greatest(1, (n_bytes + 1999) // 2000))) AS part_no, greatest(1, (n_bytes + 1999) // 2000) AS n_parts FROM files)

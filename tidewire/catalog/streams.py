@@ -5,18 +5,20 @@ from pyspark.sql import functions as F
 
 from tidewire.catalog import query
 from tidewire.catalog.batching import _F6_MIXED, FEED_REPORT_SQL
-from tidewire.catalog.intake import LOGS_SQL, SPOOL_SQL, log_tree, spool_rows, text_messages, written
+from tidewire.catalog.intake import LOGS_SQL, SPOOL_SQL, log_lines, log_tree, spool_rows, text_messages, written
 from tidewire.catalog.payloads import split_messages
 from tidewire.catalog.payloads import messages as relay_messages
 from tidewire.operators.batches import BatchOptions
 from tidewire.plans.storage import shared_path, stage
 from tidewire.sinks.posts import write_spool
+from tidewire.sinks.raw import open_root
+from tidewire.sources.log_ranges import follow_logs
 from tidewire.sources.logs import read_logs
 from tidewire.sources.spool_stream import stream_spool
 from tidewire.streaming.archive import StreamArchive, StreamJoin
 from tidewire.streaming.commits import ArchiveLog
 from tidewire.streaming.epochs import EpochTable, run_batches
-from tidewire.streaming.flows import StreamLogs, stream_relay
+from tidewire.streaming.flows import LOGS, StreamLogs, stream_relay
 from tidewire.streaming.status import StreamLatest, StreamStates, StreamStatus, stream_status
 
 BLOCK = 1 << 14
@@ -194,6 +196,37 @@ def _(t):
     return logs.merged.all().select("asctime", "levelname", "name", "message", "exc_info")
 
 
+def append_lines(lines, root):
+    """Append ``line`` to the file ``dest`` of each row; a file's lines by ``event_id``, in one task."""
+
+    def run(frames):
+        fs, base = open_root(root)
+        for frame in frames:
+            for dest, rows in frame.groupby("dest", sort=False):
+                fs.create_dir(f"{base}/{dest.rpartition('/')[0]}", recursive=True)
+                with fs.open_append_stream(f"{base}/{dest}") as out:
+                    out.write("".join(line + "\n" for line in rows["line"]).encode())
+            yield frame[["event_id"]]
+
+    dealt = lines.repartition("dest").sortWithinPartitions("dest", "event_id")
+    written(dealt.mapInPandas(run, "event_id bigint"))
+
+
+@query("l5_follow_logs", LOGS_SQL)
+def _(t):
+    root = shared_path(t.spark, "growing")
+    text, json = log_lines()
+    dest = "concat(if(event_id % 2 = 0, 'text/', 'json/'), user_id % 16, '.log') AS dest"
+    lines = t.events.selectExpr("event_id", "ts", dest, f"if(event_id % 2 = 0, {text}, {json}) AS line")
+    table = EpochTable(t.spark, f"{root}/out", LOGS)
+    for step in range(STEPS):
+        append_lines(lines.filter(thirds("ts") == step), f"{root}/logs")
+        # the last poll finds the files quiet
+        stream = follow_logs(t.spark, f"{root}/logs", range_bytes=BLOCK, quiet=3600 if step < STEPS - 1 else 0)
+        run_batches(stream, lambda df, epoch: table.write(df, epoch) and None, f"{root}/checkpoint").awaitTermination()
+    return table.all().select("asctime", "levelname", "name", "message", "exc_info", F.col("threadName").alias("thread"))
+
+
 @query("l6_stream_relay", "SELECT 'transport.relay' AS newsgroup, article_number, msg_time, site, props AS subject FROM feed WHERE article_number % 10 <> 3")
 def _(t):
     root = shared_path(t.spark, "relay")

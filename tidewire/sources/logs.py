@@ -46,8 +46,13 @@ def parse_logs(files: DataFrame) -> DataFrame:
     pieces = F.when(is_text, F.col("chunks")).otherwise(F.split("content", "\n"))
     rows = read.select("path", is_text.alias("is_text"), F.posexplode(pieces).alias("record_no", "piece"))
     # the break before the next record belongs to neither
-    piece = F.regexp_replace("piece", r"\n\z", "")
-    fields = _fields(piece)
+    rows = rows.select("path", F.col("record_no").cast("bigint").alias("record_no"), "is_text", F.regexp_replace("piece", r"\n\z", "").alias("piece"))
+    return record_fields(rows)
+
+
+def record_fields(rows: DataFrame, *kept: str) -> DataFrame:
+    """Records from their pieces (``path, record_no, is_text, piece``); others are dropped."""
+    fields = _fields(F.col("piece"))
     message, trace = split_traceback(fields["text"])
     as_text = F.struct(
         fields["asctime"].alias("asctime"),
@@ -59,9 +64,7 @@ def parse_logs(files: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("threadName"),
     )
     record = F.when(F.col("is_text"), as_text).otherwise(F.from_json("piece", LOG_JSON))
-    parsed = rows.select("path", F.col("record_no").cast("bigint").alias("record_no"), record.alias("r")).select(
-        "path", "record_no", "r.*"
-    )
+    parsed = rows.select("path", "record_no", *kept, record.alias("r")).select("path", "record_no", *kept, "r.*")
     return parsed.filter(F.col("asctime").isNotNull()).withColumn("asctime", _log_time(F.col("asctime")))
 
 
