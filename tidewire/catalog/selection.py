@@ -1,13 +1,11 @@
 """Feed, file, message and log selection; marks; merging."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewire.catalog import query
 from tidewire.operators import marks as M
 from tidewire.operators import merge as G
 from tidewire.operators import select as S
-from tidewire.plans.storage import stage
 
 BLOCK = 1 << 14
 PLAIN = ["newsgroup", "article_number", "msg_time"]
@@ -243,24 +241,14 @@ def _(t):
 MERGED = [f"transport.demo.{kind}" for kind in ("view", "error", "click", "signup", "purchase")]
 
 
-def ranked(df):
-    """Rows of a sorted table with their place in it: partitions come in order, so a place is
-    the rows of the partitions before and the row's number in its own."""
-    rows = stage(df.withColumn("__id", F.monotonically_increasing_id()), "ranked").withColumn("__part", F.shiftright("__id", 33))
-    sizes = rows.groupBy("__part").count()
-    before = F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    placed = rows.join(sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before")), "__part")
-    return placed.withColumn("rank", F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__part", "__id", "__before")
-
-
-@query(
-    "g1_sync_merge",
-    """SELECT newsgroup, article_number, msg_time,
+MERGED_SQL = """SELECT newsgroup, article_number, msg_time,
               max(msg_time) OVER (PARTITION BY newsgroup ORDER BY article_number ROWS UNBOUNDED PRECEDING) AS merge_time,
               CASE newsgroup WHEN 'transport.demo.view' THEN 0 WHEN 'transport.demo.error' THEN 1 WHEN 'transport.demo.click' THEN 2
                              WHEN 'transport.demo.signup' THEN 3 ELSE 4 END AS feed_index
-       FROM late_feed""",
-)
+       FROM late_feed"""
+
+
+@query("g1_sync_merge", MERGED_SQL)
 def _(t):
     return G.sync_merge(t.late_feed.select(*PLAIN), MERGED, BLOCK * 100)
 
@@ -272,7 +260,7 @@ def log_files(t):
 
 @query("g2_merge_logs", f"WITH {_LOGS} SELECT *, row_number() OVER (ORDER BY asctime, split_part(name, '/', 1), seq) AS rank FROM logs")
 def _(t):
-    return ranked(G.merge_logs(log_files(t))).drop("path", "record_no")
+    return G.ranked(G.merge_logs(log_files(t))).drop("path", "record_no")
 
 
 @query(
@@ -281,7 +269,7 @@ def _(t):
         SELECT * EXCLUDE (back), max(back) OVER () + 1 - back AS rank FROM ends WHERE back <= 30""",
 )
 def _(t):
-    return ranked(G.tail_logs(S.log_level(log_files(t), "error"), 30)).drop("path", "record_no")
+    return G.ranked(G.tail_logs(S.log_level(log_files(t), "error"), 30)).drop("path", "record_no")
 
 
 @query(
@@ -292,4 +280,4 @@ def _(t):
        FROM feed GROUP BY newsgroup""",
 )
 def _(t):
-    return ranked(G.rank_feeds(S.list_feeds(t.feed), "count", reverse=True))
+    return G.ranked(G.rank_feeds(S.list_feeds(t.feed), "count", reverse=True))

@@ -8,6 +8,7 @@ from tidewire.catalog.batching import _F6_MIXED, FEED_REPORT_SQL
 from tidewire.catalog.intake import LOGS_SQL, SPOOL_SQL, log_lines, log_tree, spool_rows, text_messages, written
 from tidewire.catalog.payloads import split_messages
 from tidewire.catalog.payloads import messages as relay_messages
+from tidewire.catalog.selection import MERGED, MERGED_SQL, PLAIN
 from tidewire.operators.batches import BatchOptions
 from tidewire.plans.storage import shared_path, stage
 from tidewire.sinks.posts import write_spool
@@ -19,6 +20,7 @@ from tidewire.streaming.archive import StreamArchive, StreamJoin
 from tidewire.streaming.commits import ArchiveLog
 from tidewire.streaming.epochs import EpochTable, run_batches
 from tidewire.streaming.flows import LOGS, StreamLogs, stream_relay
+from tidewire.streaming.merge import StreamMerge
 from tidewire.streaming.status import StreamLatest, StreamStates, StreamStatus, stream_status
 
 BLOCK = 1 << 14
@@ -251,3 +253,14 @@ def _(t):
         stream = spool_rows(stream_spool(t.spark, f"{root}/spool"))
         run_batches(stream, lambda df, epoch: table.write(df, epoch) and None, f"{root}/checkpoint").awaitTermination()
     return table.all().drop("epoch")
+
+
+@query("g1_live_merge", f"SELECT *, row_number() OVER (ORDER BY merge_time, feed_index, article_number) AS rank FROM ({MERGED_SQL})")
+def _(t):
+    root = shared_path(t.spark, "merge")
+    merge = StreamMerge(t.spark, root, "newsgroup string, article_number bigint, msg_time timestamp_ntz", MERGED, block_size=BLOCK * 100)
+    # feeds arrive at different speeds: the first ones are further on after every step
+    early = F.when(F.col("newsgroup") < "transport.demo.p", BLOCK * 10).otherwise(0)
+    step = F.least(F.floor(F.greatest(F.col("article_number") - early, F.lit(0)) / (BLOCK * 20)), F.lit(STEPS - 1))
+    replay(t, t.late_feed.select(*PLAIN), step, lambda s: run_batches(s, merge.apply, f"{root}/checkpoint"))
+    return merge.merged.all().drop("epoch").unionByName(merge.rest(STEPS - 1))

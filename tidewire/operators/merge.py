@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.times import from_micros, micros
 from tidewire.plans import scan
+from tidewire.plans.storage import stage
 
 MERGE_ORDER = ["merge_time", "feed_index", "article_number"]
 
@@ -34,6 +35,17 @@ def sync_merge(messages: DataFrame, feeds: Sequence[str], block_size: int = scan
     return keyed.drop("__t", "__peak").orderBy(*MERGE_ORDER)
 
 
+def ranked(ordered: DataFrame, after: int = 0) -> DataFrame:
+    """Sorted rows with their place in the order, counted on from ``after``, as ``rank``. The
+    rows are stored as they were sorted; only counts per task are summed up."""
+    rows = stage(ordered.withColumn("__id", F.monotonically_increasing_id()), "ranked").withColumn("__part", F.shiftright("__id", 33))
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1 + after
+    return rows.join(starts, "__part").withColumn("rank", place).drop("__part", "__id", "__before")
+
+
 def log_order(records: DataFrame) -> list[str]:
     """Time, then, where records have them, file and place in it: ties keep their order."""
     return ["asctime", *(c for c in ("path", "record_no") if c in records.columns)]
