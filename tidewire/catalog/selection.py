@@ -6,6 +6,8 @@ from tidewire.catalog import query
 from tidewire.operators import marks as M
 from tidewire.operators import merge as G
 from tidewire.operators import select as S
+from tidewire.plans.storage import shared_path
+from tidewire.sources.message_table import MessageTable
 
 BLOCK = 1 << 14
 PLAIN = ["newsgroup", "article_number", "msg_time"]
@@ -108,23 +110,39 @@ def _(t):
     return S.time_range(feed(t), "2024-01-10 00:00:00", "2024-01-12 12:30:00")
 
 
-@query(
-    "c8_recent",
-    "SELECT newsgroup, article_number, msg_time FROM feed WHERE msg_time >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 36 HOUR",
-)
+RECENT_SQL = "SELECT newsgroup, article_number, msg_time FROM feed WHERE msg_time >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 36 HOUR"
+RECENT_TO_NEWEST_SQL = """SELECT newsgroup, article_number, msg_time FROM feed
+       QUALIFY max(msg_time) OVER (PARTITION BY newsgroup) - msg_time <= INTERVAL 12 HOUR"""
+
+
+@query("c8_recent", RECENT_SQL)
 def _(t):
     return S.recent(feed(t), "36h", "2024-01-31 00:00:00")
 
 
-@query(
-    "c8_recent_to_newest",
-    """SELECT newsgroup, article_number, msg_time FROM feed
-       QUALIFY max(msg_time) OVER (PARTITION BY newsgroup) - msg_time <= INTERVAL 12 HOUR""",
-)
+@query("c8_recent_to_newest", RECENT_TO_NEWEST_SQL)
 def _(t):
     return S.recent_to_newest(feed(t), "12h")
 
 
+def message_table(t):
+    """The feed in a stored table with an index, appended in three batches."""
+    table = MessageTable(t.spark, shared_path(t.spark, "messages"), "newsgroup string, article_number bigint, msg_time timestamp_ntz", rows_per_file=1 << 10)
+    for batch in range(3):
+        table.append(feed(t).filter(F.least(F.floor((F.dayofmonth("msg_time") - 1) / 10), F.lit(2)) == batch), batch)
+    return table
+
+
+@query("c8_recent_indexed", RECENT_SQL)
+def _(t):
+    return message_table(t).recent("36h", "2024-01-31 00:00:00")
+
+
+@query("c8_recent_to_newest_indexed", RECENT_TO_NEWEST_SQL)
+def _(t):
+    return message_table(t).recent_to_newest("12h")
+
+
 @query(
     "c9_log_name_filter",
     f"""WITH {_LOGS} SELECT seq, name FROM logs
@@ -178,15 +196,20 @@ _EFFECTIVE = """effective AS (
   FROM feeds f LEFT JOIN marks USING (newsgroup))"""
 
 
-@query(
-    "d1_unread",
-    f"""WITH {_MARKS}, {_EFFECTIVE}
-        SELECT newsgroup, article_number, msg_time FROM feed JOIN effective USING (newsgroup) WHERE article_number > mark""",
-)
+UNREAD_SQL = f"""WITH {_MARKS}, {_EFFECTIVE}
+        SELECT newsgroup, article_number, msg_time FROM feed JOIN effective USING (newsgroup) WHERE article_number > mark"""
+
+
+@query("d1_unread", UNREAD_SQL)
 def _(t):
     return M.unread(feed(t), feeds_and_marks(t)[1])
 
 
+@query("d1_unread_indexed", UNREAD_SQL)
+def _(t):
+    return message_table(t).unread(feeds_and_marks(t)[1])
+
+
 @query(
     "d2_catch_up",
     f"""WITH {_MARKS}, known AS (SELECT f.newsgroup, low, high, coalesce(last_read, low - 1) AS cur

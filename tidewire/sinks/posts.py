@@ -79,11 +79,6 @@ def number_articles(messages: DataFrame, order: str, marks: DataFrame | None = N
     return known.withColumn("article_number", F.col("article_number") + F.coalesce("__high", F.lit(0))).drop("__high")
 
 
-def store_messages(messages: DataFrame, path: str) -> None:
-    """Append to a message table, one folder per feed, so that feed filters prune folders."""
-    messages.write.mode("append").partitionBy("newsgroup").parquet(path)
-
-
 def mime_bytes(headers: Mapping[str, str], body: str | None, parts) -> bytes:
     """The article text of one message."""
     if parts is None:
