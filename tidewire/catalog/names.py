@@ -7,6 +7,7 @@ from tidewire.functions import content, globs, sizes, template, times
 from tidewire.operators import batches as B
 from tidewire.operators import naming as J
 from tidewire.operators import roster as E
+from tidewire.operators.rules import first_rule
 from tidewire.operators.select import first_match_rule
 
 BLOCK = 1 << 14
@@ -181,6 +182,21 @@ def _(t):
     return t.files.select("newsgroup", "article_number", first_match_rule(t.files, RULES).alias("rule"))
 
 
+@query(
+    "e1_rules_table",
+    """WITH rules AS (SELECT doc_id AS rule_no, concat('*.', source) AS feed, concat('doc-', doc_id, '*') AS name, concat(lang, '/', doc_id) AS template
+                      FROM documents WHERE doc_id % 3 = 1),
+            first AS (SELECT f.doc_id, min(rule_no) AS rule_no FROM files f JOIN rules r
+                      ON ends_with(f.newsgroup, substr(r.feed, 2)) AND starts_with(f.filename, substr(r.name, 1, length(r.name) - 1)) GROUP BY 1)
+       SELECT newsgroup, article_number, template FROM files LEFT JOIN first USING (doc_id) LEFT JOIN rules USING (rule_no)""",
+)
+def _(t):
+    rules = t.documents.filter("doc_id % 3 = 1").selectExpr(
+        "doc_id AS rule_no", "concat('*.', source) AS feed", "concat('doc-', doc_id, '*') AS name", "concat(lang, '/', doc_id) AS template"
+    )
+    return t.files.select("newsgroup", "article_number", first_rule(rules).alias("template"))
+
+
 @query(
     "f11_archive_name",
     f"""WITH parts AS (SELECT *, string_split(newsgroup, '.') AS g, string_split(filename, '.') AS n, {_RULE_SQL} AS r FROM files)
