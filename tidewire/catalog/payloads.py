@@ -182,12 +182,11 @@ def _(t):
     )
 
 
-@query(
-    "j2_header_changes",
-    """WITH hashed AS (SELECT user_id % 10 AS page, event_id AS check_no, md5(concat('Length: ', length(props), E'\\nServer: ', event_type)) AS digest FROM events)
-       SELECT page, check_no, digest FROM hashed QUALIFY lag(digest) OVER (PARTITION BY page ORDER BY check_no) IS DISTINCT FROM digest""",
-)
-def _(t):
+J2_SQL = """WITH hashed AS (SELECT user_id % 10 AS page, event_id AS check_no, md5(concat('Length: ', length(props), E'\\nServer: ', event_type)) AS digest FROM events)
+       SELECT page, check_no, digest FROM hashed QUALIFY lag(digest) OVER (PARTITION BY page ORDER BY check_no) IS DISTINCT FROM digest"""
+
+
+def header_checks(t):
     def header(name, value):
         return F.struct(F.lit(name).alias("name"), value.alias("value"))
 
@@ -196,21 +195,35 @@ def _(t):
         header("Length", F.length("props").cast("string")),
         header("Server", F.col("event_type")),
     )
-    checks = t.events.select((F.col("user_id") % 10).alias("page"), F.col("event_id").alias("check_no"), headers.alias("headers"))
-    return R.header_changes(checks, block_size=BLOCK).select("page", "check_no", "digest")
+    return t.events.select((F.col("user_id") % 10).alias("page"), F.col("event_id").alias("check_no"), headers.alias("headers"))
 
 
-@query(
-    "j3_content_changes",
-    """WITH hashed AS (SELECT lang AS page, doc_id AS check_no, md5(concat(lang, text)) AS digest FROM documents)
-       SELECT page, check_no, digest, 2 AS n_urls FROM hashed QUALIFY lag(digest) OVER (PARTITION BY page ORDER BY check_no) IS DISTINCT FROM digest""",
-)
+@query("j2_header_changes", J2_SQL)
 def _(t):
-    contents = t.documents.selectExpr(
+    return R.header_changes(header_checks(t), block_size=BLOCK).select("page", "check_no", "digest")
+
+
+_J3 = """WITH hashed AS (SELECT lang AS page, doc_id AS check_no, {digest} AS digest FROM documents)
+       SELECT page, check_no, digest, 2 AS n_urls FROM hashed QUALIFY lag(digest) OVER (PARTITION BY page ORDER BY check_no) IS DISTINCT FROM digest"""
+# a tree of one node: its leaves are the language and the text
+J3_TREE_SQL = _J3.format(digest="md5(md5(concat('0:', md5(lang), E'\\n1:', md5(text))))")
+
+
+def page_contents(documents):
+    return documents.selectExpr(
         "lang AS page", "doc_id AS check_no",
         "inline(array(struct(1 AS url_no, CAST(text AS BINARY) AS content), struct(0 AS url_no, CAST(lang AS BINARY) AS content)))",
     )
-    return R.content_changes(contents, block_size=BLOCK)
+
+
+@query("j3_content_changes", _J3.format(digest="md5(concat(lang, text))"))
+def _(t):
+    return R.content_changes(page_contents(t.documents), block_size=BLOCK)
+
+
+@query("j3_tree_changes", J3_TREE_SQL)
+def _(t):
+    return R.tree_changes(page_contents(t.documents), block_size=BLOCK)
 
 
 _PAGES = """

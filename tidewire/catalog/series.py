@@ -124,7 +124,10 @@ def _(t):
 _R_MAX, _R_MAX_OUT = _resample_sql("samples", 4 * HOUR, 6 * HOUR, "max(value)")
 
 
-@query("i4_resample_max", f"WITH {_R_MAX} {_R_MAX_OUT}")
+I4_MAX_SQL = f"WITH {_R_MAX} {_R_MAX_OUT}"
+
+
+@query("i4_resample_max", I4_MAX_SQL)
 def _(t):
     return rounded(I.resample(t.samples, "4h", "MAX", "6h", block_size=BLOCK))
 
@@ -132,7 +135,10 @@ def _(t):
 _R_LAST, _R_LAST_OUT = _resample_sql("samples", 4 * HOUR, 6 * HOUR, "arg_max(value, seq)")
 
 
-@query("i4_resample_last", f"WITH {_R_LAST} {_R_LAST_OUT}")
+I4_LAST_SQL = f"WITH {_R_LAST} {_R_LAST_OUT}"
+
+
+@query("i4_resample_last", I4_LAST_SQL)
 def _(t):
     return rounded(I.resample(t.samples, "4h", "LAST", "6h", block_size=BLOCK))
 
@@ -158,19 +164,22 @@ def _(t):
 
 
 _PERIODS = [("hours", "12h", "1h", 12 * HOUR, HOUR), ("day", "1 day", "2h", 24 * HOUR, 2 * HOUR), ("week", "1 week", "12h", 168 * HOUR, 12 * HOUR)]
-_END = "2024-01-29 00:00:00"
+END = "2024-01-29 00:00:00"
 
 
 def _period_sql(name, span, step):
-    source = f"(SELECT * FROM samples WHERE ts > TIMESTAMP '{_END}' - to_microseconds({span}) AND ts <= TIMESTAMP '{_END}')"
+    source = f"(SELECT * FROM samples WHERE ts > TIMESTAMP '{END}' - to_microseconds({span}) AND ts <= TIMESTAMP '{END}')"
     ctes, out = _resample_sql(source, step, 6 * HOUR)
     return f"SELECT *, '{name}' AS period FROM (WITH {ctes} {out})"
 
 
-@query("i7_period_series", " UNION ALL ".join(_period_sql(n, span, step) for n, _, _, span, step in _PERIODS))
+I7_SQL = " UNION ALL ".join(_period_sql(n, span, step) for n, _, _, span, step in _PERIODS)
+PERIODS = [(n, span, step) for n, span, step, _, _ in _PERIODS]
+
+
+@query("i7_period_series", I7_SQL)
 def _(t):
-    periods = [(n, span, step) for n, span, step, _, _ in _PERIODS]
-    return rounded(I.period_series(t.samples, periods, _END, "6h", BLOCK))
+    return rounded(I.period_series(t.samples, PERIODS, END, "6h", BLOCK))
 
 
 @query(

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from tidewire.catalog import query
 from tidewire.catalog.batching import _F6_MIXED, FEED_REPORT_SQL
 from tidewire.catalog.intake import LOGS_SQL, SPOOL_SQL, log_lines, log_tree, spool_rows, text_messages, written
-from tidewire.catalog.payloads import split_messages
+from tidewire.catalog.payloads import J2_SQL, J3_TREE_SQL, header_checks, page_contents, split_messages
 from tidewire.catalog.payloads import messages as relay_messages
 from tidewire.catalog.selection import MERGED, MERGED_SQL, PLAIN
+from tidewire.catalog.series import END, I4_LAST_SQL, I4_MAX_SQL, I7_SQL, PERIODS, rounded
 from tidewire.operators.batches import BatchOptions
+from tidewire.operators.relay import content_digests, header_digest
 from tidewire.plans.storage import shared_path, stage
 from tidewire.sinks.posts import write_spool
 from tidewire.sinks.raw import open_root
@@ -17,11 +19,14 @@ from tidewire.sources.log_ranges import follow_logs
 from tidewire.sources.logs import read_logs
 from tidewire.sources.spool_stream import stream_spool
 from tidewire.streaming.archive import StreamArchive, StreamJoin
+from tidewire.streaming.changes import StreamChanges
 from tidewire.streaming.commits import ArchiveLog
 from tidewire.streaming.epochs import EpochTable, run_batches
 from tidewire.streaming.flows import LOGS, StreamLogs, stream_relay
 from tidewire.streaming.merge import StreamMerge
+from tidewire.streaming.pyramid import SeriesPyramid
 from tidewire.streaming.status import StreamLatest, StreamStates, StreamStatus, stream_status
+from tidewire.streaming.windows import OnTime, append_final, period_counts, sessions
 
 BLOCK = 1 << 14
 STEPS = 3
@@ -264,3 +269,114 @@ def _(t):
     step = F.least(F.floor(F.greatest(F.col("article_number") - early, F.lit(0)) / (BLOCK * 20)), F.lit(STEPS - 1))
     replay(t, t.late_feed.select(*PLAIN), step, lambda s: run_batches(s, merge.apply, f"{root}/checkpoint"))
     return merge.merged.all().drop("epoch").unionByName(merge.rest(STEPS - 1))
+
+
+@query("j2_stream_changes", J2_SQL)
+def _(t):
+    root = shared_path(t.spark, "headers")
+
+    def digests(checks):
+        return checks.withColumn("digest", header_digest(F.col("headers")))
+
+    changes = StreamChanges(t.spark, root, "page bigint, check_no bigint, digest string", digests, block_size=BLOCK)
+    checks = header_checks(t)
+    width = t.events.count() // STEPS + 1
+    step = F.floor(F.col("check_no") / width)
+    replay(t, checks, step, lambda s: run_batches(s, changes.apply, f"{root}/checkpoint"))
+    return changes.changes.all().drop("epoch")
+
+
+@query("j3_stream_changes", J3_TREE_SQL)
+def _(t):
+    root = shared_path(t.spark, "contents")
+    schema = "page string, check_no bigint, digest string, n_urls bigint"
+    changes = StreamChanges(t.spark, root, schema, lambda docs: content_digests(page_contents(docs)), block_size=BLOCK)
+    width = t.documents.count() // STEPS + 1
+    step = F.floor(F.col("doc_id") / width)
+    replay(t, t.documents, step, lambda s: run_batches(s, changes.apply, f"{root}/checkpoint"))
+    return changes.changes.all().drop("epoch")
+
+
+def pyramid(t):
+    """The samples, arriving by time, in steps of four widths."""
+    root = shared_path(t.spark, "pyramid")
+    steps = SeriesPyramid(t.spark, root, ["1h", "2h", "4h", "12h"], "6h", block_size=BLOCK, every=2)
+    replay(t, t.samples, thirds("ts"), lambda s: run_batches(s, steps.apply, f"{root}/checkpoint"))
+    return steps
+
+
+@query("i7_pyramid", I7_SQL)
+def _(t):
+    return rounded(pyramid(t).periods(STEPS - 1, PERIODS, END))
+
+
+@query("i4_pyramid", f"SELECT *, 'MAX' AS function FROM ({I4_MAX_SQL}) UNION ALL SELECT *, 'LAST' AS function FROM ({I4_LAST_SQL})")
+def _(t):
+    steps = pyramid(t)
+    out = [steps.series(STEPS - 1, "4h", f).withColumn("function", F.lit(f)) for f in ("MAX", "LAST")]
+    return rounded(out[0].unionByName(out[1]))
+
+
+DELAY = "6h"
+# one message in fifty comes a step after its time
+_COMES = "least(CAST(floor((extract(DAY FROM msg_time) - 1) / 10) AS BIGINT) + CASE WHEN event_id % 50 = 7 THEN 1 ELSE 0 END, 2)"
+_JUDGED = f"""come AS (SELECT newsgroup, article_number, msg_time, n_bytes, {_COMES} AS step FROM feed),
+newest AS (SELECT s.step, (SELECT max(epoch_us(msg_time)) FROM come c WHERE c.step < s.step) AS us FROM (SELECT DISTINCT step FROM come) s),
+judged AS (SELECT c.*, coalesce(epoch_us(msg_time) >= us - 21600000000, true) AS timely FROM come c JOIN newest USING (step)),
+mark AS (SELECT (max(epoch_us(msg_time)) // 1000 - 21600001) * 1000 AS us FROM judged WHERE timely)"""
+
+
+def punctual(t, query=None):
+    """The feed, some of it late, against the watermark; ``query`` makes windows of what is in time."""
+    root = shared_path(t.spark, "times")
+    rows = t.feed.select("newsgroup", "article_number", "msg_time", "n_bytes", "event_id")
+    came = OnTime(t.spark, root, "newsgroup string, article_number bigint, msg_time timestamp_ntz, n_bytes bigint", DELAY)
+
+    class Both:
+        """Both streams one after the other, for ``replay``."""
+
+        def __init__(self, stream):
+            self.first = run_batches(stream, came.apply, f"{root}/checkpoint")
+
+        def awaitTermination(self):
+            self.first.awaitTermination()
+            if query:
+                append_final(came.stream(), query, f"{root}/out", f"{root}/windows").awaitTermination()
+
+    replay(t, rows, F.expr(_COMES.replace("extract(DAY FROM msg_time)", "dayofmonth(msg_time)")), Both)
+    return came, root
+
+
+@query("l_late_rows", f"WITH {_JUDGED} SELECT newsgroup, article_number, msg_time, n_bytes, timely FROM judged")
+def _(t):
+    came, _ = punctual(t)
+    timely = came.on_time.all().withColumn("timely", F.lit(True))
+    return timely.unionByName(came.late.all().withColumn("timely", F.lit(False))).drop("epoch")
+
+
+@query(
+    "f8_stream_counts",
+    f"""WITH {_JUDGED},
+        counted AS (SELECT newsgroup, CAST(floor((epoch_us(msg_time) - 21600000000) / 86400000000) AS BIGINT) * 86400000000 + 21600000000 AS us,
+                           count(*) AS n_msgs, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM judged WHERE timely GROUP BY 1, 2)
+        SELECT newsgroup, make_timestamp(c.us) AS start_time, make_timestamp(c.us + 86400000000) AS end_time, n_msgs, n_bytes
+        FROM counted c, mark WHERE c.us + 86400000000 <= mark.us""",
+)
+def _(t):
+    _, root = punctual(t, lambda rows: period_counts(rows, "1 day", "6h", DELAY))
+    return t.spark.read.parquet(f"{root}/out")
+
+
+@query(
+    "f5_stream_sessions",
+    f"""WITH {_JUDGED},
+        opened AS (SELECT *, CASE WHEN msg_time - lag(msg_time) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM judged WHERE timely
+                   WINDOW w AS (PARTITION BY newsgroup ORDER BY msg_time)),
+        numbered AS (SELECT *, sum(opens) OVER (PARTITION BY newsgroup ORDER BY msg_time, article_number ROWS UNBOUNDED PRECEDING) AS n FROM opened),
+        counted AS (SELECT newsgroup, min(msg_time) AS start_time, max(msg_time) AS last_time, count(*) AS n_msgs,
+                           CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM numbered GROUP BY newsgroup, n)
+        SELECT c.* FROM counted c, mark WHERE epoch_us(last_time) + 3599999999 <= mark.us""",
+)
+def _(t):
+    _, root = punctual(t, lambda rows: sessions(rows, "1h", DELAY))
+    return t.spark.read.parquet(f"{root}/out")

@@ -120,14 +120,17 @@ def extract_variables(
     )
 
 
-def known_intervals(samples: DataFrame, timeout: str | float, order: str = "seq", block_size: int = scan.BLOCK) -> DataFrame:
+def known_intervals(
+    samples: DataFrame, timeout: str | float, order: str = "seq", block_size: int = scan.BLOCK, peak: str | None = None
+) -> DataFrame:
     """Per sample the time it speaks for: (``since``, ``until``] in microseconds, from the
     latest time so far, so that no time counts twice when samples come out of order. Samples
     after more than ``timeout``, the first of a series, samples behind a later one and
-    unknown values speak for none."""
+    unknown values speak for none. ``peak`` names a column with the latest time (microseconds)
+    of the series' samples before these, where they are not the first."""
     rows = samples.withColumn("until", micros(F.col("ts")))
     linked = scan.running(rows, SERIES, order, {"__before": scan.running_max(F.col("until"), inclusive=False)}, block_size)
-    since = F.col("__before")
+    since = F.col("__before") if peak is None else F.greatest("__before", peak)
     known = F.col("value").isNotNull() & (F.col("until") > since) & (F.col("until") - since <= duration_micros(timeout))
     return linked.withColumn("since", since).filter(known).drop("__before")
 

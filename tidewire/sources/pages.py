@@ -100,9 +100,10 @@ def page_links(
     exclude: Sequence[str] = (),
     links: bool = True,
     body: bool = True,
+    images: bool = True,
 ) -> DataFrame:
-    """Urls to retrieve for each page (``page_id, url, html``): the page itself first, then the
-    images and links whose path matches an include glob and no exclude glob, made absolute, in
+    """Urls to retrieve for each page (``page_id, url, html``): the page itself first (``body``), then
+    the images (``images``) and links (``links``) whose path matches an include glob and no exclude glob, made absolute, in
     page order. Everything stays in the row until the links are exploded."""
     text = F.col("html")
     for pattern in _SKIPPED:
@@ -115,11 +116,13 @@ def page_links(
         return F.struct(F.when(is_image, "image").otherwise("link").alias("kind"), target.alias("target"))
 
     wanted = found.select("page_id", "url", F.transform("tags", link).alias("found"))
-    wanted = wanted.select("page_id", "url", F.posexplode_outer("found").alias("pos", "l")) if links else None
+    wanted = wanted.select("page_id", "url", F.posexplode_outer("found").alias("pos", "l"))
     out = None
-    if links:
+    if links or images:
         path = url_part(F.col("target"), 3)
         flat = wanted.select("page_id", "url", "pos", F.col("l")["kind"].alias("kind"), F.col("l")["target"].alias("target"))
+        if not (links and images):
+            flat = flat.filter(F.col("kind") == ("link" if links else "image"))
         kept = flat.filter(F.col("target").isNotNull()).filter(include_exclude(path, include, exclude))
         out = kept.select(
             "page_id", (F.col("pos") + 1).cast("bigint").alias("link_no"), "kind",

@@ -7,6 +7,7 @@ tables hold each message's effect once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,19 @@ class EpochTable:
         df.write.mode("overwrite").parquet(self._folder(epoch))
         return self.read(epoch)
 
+    def write_once(self, df: DataFrame, epoch: int) -> DataFrame:
+        """Store this micro-batch's rows unless they are there, for streams that follow the table:
+        the folder appears whole, by one renaming, and never changes after that. Needs a file
+        system that renames folders in one step (local, HDFS)."""
+        final = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(epoch))
+        files = final.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(final):
+            coming = f"{self.root}/_coming-{uuid.uuid4().hex}"
+            df.write.parquet(coming)
+            if not files.rename(self.spark._jvm.org.apache.hadoop.fs.Path(coming), final):
+                raise OSError(f"cannot rename {coming} to {final}")
+        return self.read(epoch)
+
     def read(self, epoch: int) -> DataFrame:
         """Rows of one micro-batch; none before the first."""
         if epoch < 0:
@@ -51,6 +65,36 @@ class EpochTable:
         return self.spark.read.schema(f"{self.schema}, epoch bigint").parquet(self.root)
 
 
+class FoldedTable:
+    """A table of states. A micro-batch stores the rows it touched; every ``every``-th one also
+    stores the ``fold`` of all so far, so that a reader opens at most ``every`` folders more.
+
+    ``fold(rows)`` brings several rows of a key to one; it must not matter in which groups."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, fold: Callable[[DataFrame], DataFrame], every: int = 16):
+        self.touched = EpochTable(spark, f"{root}/touched", schema)
+        self.folded = EpochTable(spark, f"{root}/folded", schema)
+        self.fold, self.every = fold, every
+
+    def parts(self, epoch: int) -> DataFrame:
+        """The rows that together are the table after a micro-batch, several a key."""
+        base = max(epoch, 0) // self.every * self.every
+        if base == 0:
+            return self.touched.some(range(epoch + 1)).drop("epoch")
+        return self.folded.read(base).unionByName(self.touched.some(range(base + 1, epoch + 1)).drop("epoch"))
+
+    def current(self, epoch: int) -> DataFrame:
+        """The table after a micro-batch, one row a key; empty before the first."""
+        return self.fold(self.parts(epoch))
+
+    def add(self, rows: DataFrame, epoch: int, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """Store what a micro-batch touched and go on from it; of what is folded, what ``keep`` leaves."""
+        touched = self.touched.write(rows, epoch)
+        if epoch > 0 and epoch % self.every == 0:
+            self.folded.write(keep(self.fold(self.parts(epoch - 1).unionByName(touched))), epoch)
+        return touched
+
+
 def run_batches(
     stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, once: bool = False
 ) -> StreamingQuery:
