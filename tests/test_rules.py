@@ -221,3 +221,18 @@ def test_inputs_are_scanned_once_or_twice(spark, tmp_path, monkeypatch):
     assert scans(B.feed_report(B.batch_feed(read(), mixed, block_size=16), mixed, 16)) <= 3
     parts = read().selectExpr("newsgroup", "'f' AS original", "article_number", "0 AS part_no", "1 AS n_parts")
     assert scans(P.assemblies(parts, 16)) <= 4
+
+
+def test_images_and_links_are_chosen_apart(spark):
+    html = '<a href="l.html">x</a><img src="i.png"><a href="m.html">y</a>'
+    pages = spark.createDataFrame([(1, "http://h.example/d/", html)], "page_id bigint, url string, html string")
+
+    def got(**switches):
+        rows = page_links(pages, **switches).orderBy("link_no").collect()
+        return [(r.link_no, r.kind, r.link.rsplit("/", 1)[1]) for r in rows]
+
+    page, first, image, second = (0, "page", ""), (1, "link", "l.html"), (2, "image", "i.png"), (3, "link", "m.html")
+    assert got() == [page, first, image, second]
+    assert got(images=False) == [page, first, second]
+    assert got(links=False, body=False) == [image]
+    assert got(links=False, images=False) == [page]

@@ -42,7 +42,7 @@ def rows_of(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_windows_of_the_stream_are_those_of_the_rows_in_time(spark, seed):
     batches = arrivals(random.Random(seed))
     root = shared_path(spark, "windows")
@@ -54,7 +54,8 @@ def test_windows_of_the_stream_are_those_of_the_rows_in_time(spark, seed):
     for epoch, rows in enumerate(batches):
         for _ in range(1 + epoch % 2):  # a micro-batch that runs again changes nothing
             came.apply(spark.createDataFrame(rows, SCHEMA), epoch)
-            for name, form in forms.items():
+        for name, form in forms.items():
+            if epoch % 2:  # a query may fall behind and catch up
                 append_final(came.stream(), form, f"{root}/{name}", f"{root}/{name}-checkpoint").awaitTermination()
     timely, late = split(batches, timedelta(seconds=15))
     stored = [came.on_time.all().drop("epoch"), came.late.all().drop("epoch")]
