@@ -9,7 +9,7 @@ import pytest
 from tidewire.plans.storage import shared_path
 from tidewire.sources import log_ranges
 from tidewire.sources.log_ranges import LogFolder, LogStreamReader, cut, follow_logs, pieces_of, read_log_ranges
-from tidewire.sources.logs import read_logs
+from tidewire.sources.logs import parse_logs, read_logs
 from tidewire.streaming.epochs import EpochTable, run_batches
 from tidewire.streaming.flows import LOGS
 
@@ -155,3 +155,45 @@ def test_stream_of_growing_files(spark):
         stream = follow_logs(spark, root, 64, quiet=3600 if step < 2 else 0)
         run_batches(stream, lambda df, epoch: out.write(df, epoch) and None, f"{root}-checkpoint").awaitTermination()
     assert in_order(out.all()) == in_order(read_logs(spark, root))
+
+
+def test_whole_files_are_held_by_ranges(spark, monkeypatch):
+    """Every file gives what parse_logs makes of its whole text, though a task holds little of it."""
+    rng = random.Random(14)
+    root = local(spark, "logs")
+    for n in range(40):
+        put(root, f"d{n % 3}/{n:03d} %41.log", content(rng))
+    texts = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(root)
+    expected = parse_logs(texts.selectExpr("_metadata.file_path AS path", "value AS content"))
+    got = read_logs(spark, root)
+    order = [*FIELDS, "path"]
+    assert sorted(map(repr, got.select(order).collect())) == sorted(map(repr, expected.select(order).collect()))
+    numbers = [r.record_no for r in got.orderBy("path", "record_no").collect()]
+    assert numbers == [r.record_no for r in expected.orderBy("path", "record_no").collect()]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "wholetext" not in plan and "content" not in plan.split("Scan")[1]
+
+
+def test_a_range_reads_little_beyond_its_end():
+    class Counted(io.BytesIO):
+        n = 0
+
+        def read(self, size=-1):
+            self.n += size
+            return super().read(size)
+
+    data = "".join(line(n % 1000) for n in range(20000)).encode()
+    file = Counted(data)
+    for part in cut("", 0, len(data), len(data), 1 << 14):
+        list(pieces_of(file, part))
+    assert file.n < 1.2 * len(data)
+
+
+def test_many_short_ranges_are_few_tasks(monkeypatch, tmp_path):
+    monkeypatch.setattr(log_ranges, "TASK_BYTES", 200)
+    for n in range(30):
+        put(str(tmp_path), f"{n}.log", line(n) * (1 if n else 50))
+    tasks = log_ranges.LogReader(LogFolder(str(tmp_path)), 10).partitions()
+    sizes = [sum(s.stop - s.start for s in t.stretches) for t in tasks]
+    assert max(sizes) <= 200 and sum(sizes) == sum(os.path.getsize(tmp_path / f"{n}.log") for n in range(30))
+    assert len(tasks) < 25

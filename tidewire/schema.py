@@ -27,6 +27,9 @@ MESSAGES = T.StructType(
     ]
 )
 
+#: What Spark's binaryFile gives of a file.
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
 LOG_JSON = T.StructType(
     [
         T.StructField("asctime", T.StringType()),

@@ -26,6 +26,16 @@ def open_root(root: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.LocalFileSystem(), root
 
 
+def place_of(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path as Spark's readers name it, not escaped, and the path there."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return pyarrow.fs.LocalFileSystem(), posixpath.join("/", rest.lstrip("/")) if colon else path
+    authority, _, name = rest.removeprefix("//").partition("/")
+    fs, base = open_root(f"{scheme}://{authority}/")
+    return fs, f"{base.rstrip('/')}/{name}"
+
+
 def qualified(spark: SparkSession, root: str) -> str:
     """A path without a scheme, as Spark reads it: on the default file system."""
     if "://" in root or root.startswith("file:"):

@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tidewire.plans.storage import stage
-from tidewire.sinks.raw import open_root, qualified
+from tidewire.sinks.raw import open_root, place_of, qualified
 from tidewire.sources.logs import record_fields
 
 RANGE_BYTES = 32 << 20
 QUIET = 60.0
 #: What tells one file from another that later has its name.
 HEAD_BYTES = 128
-_BLOCK = 1 << 20
+#: What is read ahead for the end of a record: little at first, twice as much each time.
+_AHEAD, _BLOCK = 1 << 10, 1 << 20
 _BATCH_BYTES = 16 << 20
+#: Ranges are many where they are short; a task reads so many bytes of them.
+TASK_BYTES = 8 << 20
 
 #: A record starts at a date in brackets at the start of a line (after any break Java knows).
 _START = re.compile(rb"(?:\n|\r|\xc2\x85|\xe2\x80[\xa8\xa9])(?=\[\d{4}-\d{2}-\d{2})")
@@ -41,6 +44,13 @@ class LogRange(InputPartition):
         self.path, self.start, self.stop, self.end = path, start, stop, end
 
 
+class LogTask(InputPartition):
+    """What one task reads: stretches of files, each in ranges of ``length`` bytes."""
+
+    def __init__(self, stretches: list[LogRange], length: int):
+        self.stretches, self.length = stretches, length
+
+
 class _Window:
     """Bytes of an open file from a position on, as far as they were asked for."""
 
@@ -60,14 +70,15 @@ class _Window:
 
     def find(self, pattern: re.Pattern, position: int, overlap: int) -> re.Match | None:
         """The first match from a position on, reading on block by block."""
-        at = position - self.start
+        at, ahead = position - self.start, _AHEAD
         while True:
             # near the edge of what was read a match may still be undecided
             match = pattern.search(self.data, at)
             if match or self.at_end():
                 return match
             at = max(at, len(self.data) - overlap)
-            self.reach(self.start + len(self.data) + _BLOCK)
+            self.reach(self.start + len(self.data) + min(ahead, _BLOCK))
+            ahead *= 2
 
 
 def _heads_a_record(window: _Window) -> bool:
@@ -130,35 +141,62 @@ class LogFolder:
         fs, base = open_root(self.root)
         return fs.open_input_file(f"{base.rstrip('/')}/{path}")
 
-    def read(self, part: LogRange) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-        try:
-            file = self.open(part.path)
-        except FileNotFoundError:
-            return
-        with file:
-            for place, is_text, piece in pieces_of(file, part):
-                rows.append({"path": part.path, "record_no": place, "is_text": is_text, "piece": piece})
-                size += len(piece) + 100
-                if size >= _BATCH_BYTES:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                    rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+    def pieces(self, task: LogTask) -> Iterator[tuple[str, int, bool, bytes]]:
+        for stretch in task.stretches:
+            try:
+                file = self.open(stretch.path)
+            except FileNotFoundError:
+                continue
+            with file:
+                for part in cut(stretch.path, stretch.start, stretch.stop, stretch.end, task.length):
+                    for place, is_text, piece in pieces_of(file, part):
+                        yield part.path, place, is_text, piece
+
+    def read(self, task: LogTask) -> Iterator[pa.RecordBatch]:
+        return batched(self.pieces(task))
+
+
+def batched(rows: Iterator[tuple[str, int, bool, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of bounded size."""
+    columns, size = ([], [], [], []), 0
+    for row in rows:
+        for column, value in zip(columns, row):
+            column.append(value)
+        size += len(row[3]) + 100
+        if size >= _BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+            columns, size = ([], [], [], []), 0
+    if size:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
 
 def cut(path: str, start: int, stop: int, end: int, length: int) -> list[LogRange]:
     return [LogRange(path, at, min(at + length, stop), end) for at in range(start, stop, length)]
 
 
+def dealt(stretches: Iterator[LogRange], length: int) -> list[LogTask]:
+    """Tasks of about ``TASK_BYTES`` in ranges of ``length``: long stretches are cut between two
+    ranges, short ones read together."""
+    most = max(1, TASK_BYTES // length) * length
+    tasks, now, size = [], [], 0
+    for stretch in stretches:
+        for part in cut(stretch.path, stretch.start, stretch.stop, stretch.end, most):
+            if now and size + part.stop - part.start > most:
+                tasks.append(LogTask(now, length))
+                now, size = [], 0
+            now.append(part)
+            size += part.stop - part.start
+    return [*tasks, LogTask(now, length)] if now else tasks
+
+
 class LogReader(DataSourceReader):
     def __init__(self, folder: LogFolder, length: int):
         self.folder, self.length = folder, length
 
-    def partitions(self) -> list[LogRange]:
-        return [part for path, size, _ in sorted(self.folder.files()) for part in cut(path, 0, size, size, self.length)]
+    def partitions(self) -> list[LogTask]:
+        return dealt((LogRange(path, 0, size, size) for path, size, _ in sorted(self.folder.files())), self.length)
 
-    def read(self, partition: LogRange | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: LogTask | None) -> Iterator[pa.RecordBatch]:
         return self.folder.read(partition) if partition else iter(())
 
 
@@ -221,7 +259,7 @@ class LogStreamReader(DataSourceStreamReader):
                 out[path] = place
         return out
 
-    def partitions(self, start: dict, end: dict) -> list[LogRange]:
+    def partitions(self, start: dict, end: dict) -> list[LogTask]:
         """What was added to each file, under whatever name it has now: a file goes on where the
         one with its beginning was left, first that of its own name, then one that was moved."""
 
@@ -237,13 +275,62 @@ class LogStreamReader(DataSourceStreamReader):
                 old = moved.pop(source) if source else None
             begun = old["to"] if old else 0
             if begun < new["to"]:
-                out += cut(path, begun, new["to"], new["size"], self.length)
-        return out
+                out.append(LogRange(path, begun, new["to"], new["size"]))
+        return dealt(out, self.length)
 
-    def read(self, partition: LogRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: LogTask) -> Iterator[pa.RecordBatch]:
         return self.folder.read(partition)
 
 
+def _is_record(piece: bytes) -> bool:
+    """Whether a piece has the form of a text record: what ``record_fields`` asks of it."""
+    text = piece.decode(errors="replace")
+    bracket = text.find("]")
+    stamp = re.split(r"[ \t\n\x0b\f\r]+", text[1 : max(bracket, 1)].strip(" "))
+    if not text.startswith("[") or bracket < 1 or len(stamp) != 3 or text[bracket + 1 :].lstrip(" ").find(":") < 1:
+        return False
+    return "." in stamp[1] and stamp[2] == stamp[2].upper() != stamp[2].lower()
+
+
+def _lines(file, size: int) -> Iterator[bytes]:
+    file.seek(0)
+    rest = b""
+    for at in range(0, size, _BLOCK):
+        *lines, rest = (rest + file.read(min(_BLOCK, size - at))).split(b"\n")
+        yield from lines
+    yield rest
+
+
+def whole_file(file, path: str, size: int, length: int = RANGE_BYTES) -> Iterator[tuple[str, int, bool, bytes]]:
+    """``(path, record_no, is_text, piece)`` of a file, in order and a range at a time: its text
+    records or, where it has none, the lines that can be JSON, numbered among all lines."""
+    number = 0
+    for part in cut(path, 0, size, size, length):
+        for _, is_text, piece in pieces_of(file, part):
+            if is_text and _is_record(piece):
+                yield path, number, True, piece
+                number += 1
+    if not number:
+        for k, line in enumerate(_lines(file, size)):
+            if line.lstrip()[:1] in (b"{", b"["):
+                yield path, k, False, line
+
+
+def read_whole_files(files: DataFrame) -> DataFrame:
+    """Pieces (``path, record_no, is_text, piece``) of log files (``place, path, size``), opened at
+    their place in the tasks; a task holds one range of one file."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bool, bytes]]:
+        for batch in batches:
+            for place, path, size in zip(*(c.to_pylist() for c in batch.columns)):
+                fs, name = place_of(place)
+                with fs.open_input_file(name) as file:
+                    yield from whole_file(file, path, size, TASK_BYTES)
+
+    pieces = files.select("place", "path", "size").mapInArrow(lambda batches: batched(rows(batches)), PIECES)
+    return pieces.withColumn("piece", F.col("piece").cast("string"))
+
+
 class LogSource(DataSource):
     """Format ``tidewire_logs``: pieces of the log files below ``path``, in ranges of ``rangeBytes``."""
 

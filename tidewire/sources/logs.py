@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.content import split_traceback
-from tidewire.schema import LOG_JSON
+from tidewire.schema import BINARY_FILE, LOG_JSON
+from tidewire.sinks.raw import place_of, qualified
 
 _STARTS = r"(?m)(?=^\[\d{4}-\d{2}-\d{2})"
 
@@ -52,30 +54,45 @@ def parse_logs(files: DataFrame) -> DataFrame:
 
 def record_fields(rows: DataFrame, *kept: str) -> DataFrame:
     """Records from their pieces (``path, record_no, is_text, piece``); others are dropped."""
-    fields = _fields(F.col("piece"))
-    message, trace = split_traceback(fields["text"])
-    as_text = F.struct(
-        fields["asctime"].alias("asctime"),
-        fields["levelname"].alias("levelname"),
-        fields["name"].alias("name"),
-        message.alias("message"),
-        trace.alias("exc_info"),
-        F.lit(None).cast("string").alias("stderr"),
-        F.lit(None).cast("string").alias("threadName"),
+    is_text, ids = F.col("is_text"), ["path", "record_no", *kept]
+    # each is worked out once, in a step before its fields are taken
+    text = F.when(is_text, _fields(F.col("piece"))).alias("text")
+    json = F.when(~is_text, F.from_json("piece", LOG_JSON)).alias("json")
+    message, trace = split_traceback(F.col("text.text"))
+    read = rows.select(*ids, text, json).select(
+        *ids,
+        F.coalesce("text.asctime", "json.asctime").alias("asctime"),
+        F.coalesce("text.levelname", "json.levelname").alias("levelname"),
+        F.coalesce("text.name", "json.name").alias("name"),
+        F.coalesce(message, "json.message").alias("message"),
+        F.coalesce(trace, "json.exc_info").alias("exc_info"),
+        F.col("json.stderr").alias("stderr"),
+        F.col("json.threadName").alias("threadName"),
     )
-    record = F.when(F.col("is_text"), as_text).otherwise(F.from_json("piece", LOG_JSON))
-    parsed = rows.select("path", "record_no", *kept, record.alias("r")).select("path", "record_no", *kept, "r.*")
-    return parsed.filter(F.col("asctime").isNotNull()).withColumn("asctime", _log_time(F.col("asctime")))
+    return read.filter(F.col("asctime").isNotNull()).withColumn("asctime", _log_time(F.col("asctime")))
 
 
 def read_logs(spark: SparkSession, root: str, stream: bool = False, files_per_trigger: int | None = None) -> DataFrame:
-    """All log files below a folder. Files are read whole (logs are rotated, and a record may
-    be many lines); different files go to different tasks."""
+    """All log files below a folder. A file is read by one task, in order and a range at a time
+    (a record may be many lines); different files go to different tasks. In a store that
+    only Spark reads, a file is one cell."""
+    from tidewire.sources.log_ranges import read_whole_files
+
+    try:
+        place_of(qualified(spark, root))
+        opened = True
+    except (pa.ArrowException, OSError):
+        opened = False
     reader = spark.readStream if stream else spark.read
-    reader = reader.format("text").option("wholetext", "true").option("recursiveFileLookup", "true")
+    reader = reader.option("recursiveFileLookup", "true")
+    reader = reader.format("binaryFile") if opened else reader.format("text").option("wholetext", "true")
     if stream:
-        reader = reader.schema("value string")
+        reader = reader.schema(BINARY_FILE if opened else "value string")
         if files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    files = reader.load(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    return parse_logs(files)
+    path = F.col("_metadata.file_path").alias("path")
+    if not opened:
+        return parse_logs(reader.load(root).select(path, F.col("value").alias("content")))
+    # the name and length of a file are all that Spark reads of it
+    files = reader.load(root).select(F.col("path").alias("place"), path, F.col("length").alias("size"))
+    return record_fields(read_whole_files(files))

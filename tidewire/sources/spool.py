@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.content import extension_of
 from tidewire.functions.times import duration_micros
-from tidewire.schema import MESSAGES
+from tidewire.schema import BINARY_FILE, MESSAGES
 
 # Headers that tell a message's time, in order of preference.
 DATE_HEADERS = ["x-transport-date", "nntp-posting-date", "date"]
 BODY_NAME = "body.txt"
-_BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def _parse_article(raw: bytes, number: int) -> dict:
@@ -66,7 +65,7 @@ def read_spool(spark: SparkSession, root: str, stream: bool = False, files_per_t
     reader = spark.readStream if stream else spark.read
     reader = reader.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[0-9]*")
     if stream:
-        reader = reader.schema(_BINARY_FILE)
+        reader = reader.schema(BINARY_FILE)
         if files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     folder = root.rstrip("/").split("/")[-1]
