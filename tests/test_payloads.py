@@ -84,3 +84,28 @@ def test_urls_resolve_as_in_a_browser(spark):
     df = spark.createDataFrame(rows, "base string, link string")
     for base, link, got in df.select("base", "link", resolve_url(F.col("base"), F.col("link"))).collect():
         assert got == urljoin(base, link), (base, link)
+
+
+def test_files_are_changed_by_bytes_not_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(P, "SLICE_BYTES", 50)
+    rows = [(n, f"f{n}" + (".bz2" if n % 5 == 0 else ""), bytes([n]) * (n * 7 % 40)) for n in range(60)]
+    files = spark.createDataFrame(rows, "n int, filename string, content binary").coalesce(1)
+    packed = P.compress(files)
+    assert "MapInArrow" in packed._jdf.queryExecution().executedPlan().toString()
+    got = {r.n: r for r in P.uncompress(packed).collect()}
+    assert len(got) == 60
+    for n, name, content in rows:
+        if n % 5:
+            assert (got[n].filename, bytes(got[n].content), got[n].original_bytes, got[n].error) == (name, content, len(content), None)
+        else:  # named as packed, but is not
+            assert got[n].filename == (name if content else name[:-4]) and got[n].original_bytes == len(content)
+
+
+def test_groups_take_the_columns_asked_for(spark):
+    from tidewire.sources.files import file_groups
+
+    files = spark.createDataFrame([("w", "/b", "b", b"2"), ("w", "/a", "a", b"1")], "watch string, path string, filename string, content binary")
+    digests = file_groups(files.selectExpr("watch", "filename", "md5(content) AS digest"), True, ["filename", "digest"])
+    assert [(f.filename, len(f.digest)) for f in digests.first().files] == [("a", 32), ("b", 32)]
+    assert "content" not in digests.schema.simpleString()
+    assert [f.path for f in file_groups(files, True).first().files] == ["/a", "/b"]

@@ -8,10 +8,11 @@ from __future__ import annotations
 import bz2
 import gzip
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from tidewire.sinks.raw import write_files
 
 OK, MISMATCH, UNCHECKED, INCOMPLETE = "ok", "mismatch", "no checksum", "incomplete"
 CHUNK_BYTES = 64 << 20
+#: What a task makes before it hands it on.
+SLICE_BYTES = 4 << 20
 FILE = ["newsgroup", "original"]
 
 
@@ -171,21 +174,44 @@ def join_parts(parts: DataFrame, block_size: int = scan.BLOCK, placed: DataFrame
 # ------------------------------------------------------------- compression
 
 
+def _changed(files: DataFrame, change: Callable[[str, bytes], tuple], added: str) -> DataFrame:
+    """Files with the ``(filename, content, added column)`` that ``change`` makes of each, handed on
+    by bytes, not by rows: a task holds one batch of what it reads and little of what it makes."""
+    name, kind = added.split()
+    arrow = {"bigint": pa.int64(), "string": pa.string()}[kind]
+
+    def made(rows: pa.RecordBatch, done: list[tuple]) -> pa.RecordBatch:
+        names, contents, extra = zip(*done)
+        new = {"filename": names, "content": contents}
+        columns = [pa.array(new[f.name], f.type) if f.name in new else rows.column(f.name) for f in rows.schema]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(extra, arrow)], [*rows.schema.names, name])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done, start, size = [], 0, 0
+            for k, (old, content) in enumerate(zip(batch.column("filename"), batch.column("content"))):
+                content = content.as_py()
+                done.append(change(old.as_py(), content))
+                size += len(content) + len(done[-1][1] or b"")
+                if size >= SLICE_BYTES:
+                    yield made(batch.slice(start, len(done)), done)
+                    done, start, size = [], k + 1, 0
+            if done:
+                yield made(batch.slice(start, len(done)), done)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
+    return files.mapInArrow(run, f"{schema}, {added}")
+
+
 def compress(files: DataFrame) -> DataFrame:
     """bz2 of each file not yet compressed, name extended, with old and new size."""
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            packed = frame["filename"].str.endswith(".bz2")
-            contents = [c if done else bz2.compress(c, 9) for c, done in zip(frame["content"], packed)]
-            yield frame.assign(
-                original_bytes=frame["content"].map(len).astype("int64"),
-                content=contents,
-                filename=np.where(packed, frame["filename"], frame["filename"] + ".bz2"),
-            )
+    def pack(name: str | None, content: bytes) -> tuple:
+        if name is None or name.endswith(".bz2"):
+            return name, content, len(content)
+        return name + ".bz2", bz2.compress(content, 9), len(content)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
-    packed = files.mapInPandas(pack, f"{schema}, original_bytes bigint")
+    packed = _changed(files, pack, "original_bytes bigint")
     size = F.octet_length("content")
     percent = F.when(F.col("original_bytes") > 0, size / F.col("original_bytes") * 100).otherwise(0.0)
     return packed.withColumn("percent", percent)
@@ -204,15 +230,7 @@ def uncompress(files: DataFrame) -> DataFrame:
             return name, None, f"{type(err).__name__}: {err}"
         return name, content, None
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            done = [expand(n, c) for n, c in zip(frame["filename"], frame["content"])]
-            yield frame.assign(
-                filename=[d[0] for d in done], content=[d[1] for d in done], error=[d[2] for d in done]
-            )
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
-    return files.mapInPandas(run, f"{schema}, error string")
+    return _changed(files, expand, "error string")
 
 
 # ----------------------------------------------------------------- archive

@@ -24,11 +24,13 @@ def watch_files(spark: SparkSession, root: str, globs: Sequence[str], watch: str
     )
 
 
-def file_groups(files: DataFrame, group_files: bool) -> DataFrame:
-    """What becomes one message: each file, or all files of a watch in name order.
+def file_groups(files: DataFrame, group_files: bool, entry: Sequence[str] = ("path", "filename", "content")) -> DataFrame:
+    """What becomes one message: each file, or all files of a watch in order of ``entry``, the
+    columns of a file that are wanted.
 
-    A grouped watch is one message by definition, so its files come together."""
-    entry = F.struct("path", "filename", "content")
+    A grouped watch is one message by definition, so its files come together, in one row: where
+    a digest of the contents does, take that before and name it in ``entry``."""
+    entry = F.struct(*entry)
     if not group_files:
         return files.select("watch", F.array(entry).alias("files"))
     return files.groupBy("watch").agg(F.array_sort(F.collect_list(entry)).alias("files"))
