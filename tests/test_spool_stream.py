@@ -124,3 +124,24 @@ def test_expired_between_listing_and_reading(tmp_path):
     assert [n for p in parts for b in spool.read(p) for n in b.column("article_number").to_pylist()] == [1, 3]
     with pytest.raises(FileNotFoundError):
         Spool(str(tmp_path / "nothing")).marks()
+
+
+def test_a_spool_is_read_many_articles_to_a_task(spark):
+    root = local(spark, "spool")
+    for number in range(1, 200):
+        put(root, "a.b", number)
+    os.makedirs(f"{root}/c")
+    open(f"{root}/c/7", "w").close()  # empty: passed over, as by Spark's readers
+    read = read_spool(spark, root)
+    assert "binaryFile" not in read._jdf.queryExecution().executedPlan().toString()
+    assert read.count() == 199 and read.rdd.getNumPartitions() <= 2
+
+
+def test_articles_share_a_boundary_that_no_part_can_hold():
+    from tidewire.sinks.posts import _BOUNDARY, mime_bytes
+    from tidewire.sources.spool import parse_article
+
+    content = f"--{_BOUNDARY}\n--{_BOUNDARY}--\n".encode()
+    raw = mime_bytes({"subject": "x"}, None, [{"content_type": "text/plain", "content": content, "filename": f"--{_BOUNDARY}"}] * 2)
+    assert f"\n--{_BOUNDARY}\n".encode() in raw
+    assert [p["content"] for p in parse_article(raw, 1)["parts"]] == [content] * 2

@@ -18,6 +18,11 @@ from tidewire.plans import scan
 from tidewire.sinks.raw import open_root, put
 
 
+#: No line of base64 or of a header begins with dashes, so one boundary does for all articles,
+#: and neither writer nor reader has to compile a pattern for each.
+_BOUNDARY = "===============7439021586374921065=="
+
+
 def header_map(headers: Mapping[str, str]) -> Column:
     if not headers:
         return F.create_map().cast("map<string,string>")
@@ -84,7 +89,7 @@ def mime_bytes(headers: Mapping[str, str], body: str | None, parts) -> bytes:
     if parts is None:
         message = MIMEText(body or "", _charset="us-ascii" if (body or "").isascii() else "utf-8")
     else:
-        message = MIMEMultipart()
+        message = MIMEMultipart(boundary=_BOUNDARY)
         for part in parts:
             maintype, subtype = part["content_type"].split("/", 1)
             piece = MIMEBase(maintype, subtype)

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,15 @@ def place_of(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return fs, f"{base.rstrip('/')}/{name}"
 
 
+def arrow_opens(spark: SparkSession, root: str) -> bool:
+    """Whether Arrow knows the file system of a path; others only Spark reads."""
+    try:
+        place_of(qualified(spark, root))
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
 def qualified(spark: SparkSession, root: str) -> str:
     """A path without a scheme, as Spark reads it: on the default file system."""
     if "://" in root or root.startswith("file:"):
@@ -49,10 +59,13 @@ class Draft:
 
     def __init__(self, fs: pyarrow.fs.FileSystem, path: str):
         folder, name = posixpath.split(path)
-        fs.create_dir(folder, recursive=True)
         self.fs, self.path, self.n_bytes = fs, path, 0
         self.draft = f"{folder}/.{name}.{uuid.uuid4().hex}"
-        self.out = fs.open_output_stream(self.draft)
+        try:
+            self.out = fs.open_output_stream(self.draft)
+        except FileNotFoundError:  # the first file of its folder
+            fs.create_dir(folder, recursive=True)
+            self.out = fs.open_output_stream(self.draft)
 
     def add(self, content: bytes) -> None:
         self.out.write(content)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.content import split_traceback
 from tidewire.schema import BINARY_FILE, LOG_JSON
-from tidewire.sinks.raw import place_of, qualified
+from tidewire.sinks.raw import arrow_opens
 
 _STARTS = r"(?m)(?=^\[\d{4}-\d{2}-\d{2})"
 
@@ -78,11 +77,7 @@ def read_logs(spark: SparkSession, root: str, stream: bool = False, files_per_tr
     only Spark reads, a file is one cell."""
     from tidewire.sources.log_ranges import read_whole_files
 
-    try:
-        place_of(qualified(spark, root))
-        opened = True
-    except (pa.ArrowException, OSError):
-        opened = False
+    opened = arrow_opens(spark, root)
     reader = spark.readStream if stream else spark.read
     reader = reader.option("recursiveFileLookup", "true")
     reader = reader.format("binaryFile") if opened else reader.format("text").option("wholetext", "true")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.content import extension_of
 from tidewire.functions.times import duration_micros
 from tidewire.schema import BINARY_FILE, MESSAGES
+from tidewire.sinks.raw import arrow_opens
 
 # Headers that tell a message's time, in order of preference.
 DATE_HEADERS = ["x-transport-date", "nntp-posting-date", "date"]
@@ -61,7 +62,14 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_spool(spark: SparkSession, root: str, stream: bool = False, files_per_trigger: int | None = None) -> DataFrame:
-    """Article files as messages. Unreadable articles keep an ``error`` instead of contents."""
+    """Article files as messages. Unreadable articles keep an ``error`` instead of contents.
+
+    Read at once, names are listed folder by folder and a task opens a thousand articles; a
+    stream, and a store that only Spark reads, go by Spark's own files. Empty files are passed over."""
+    from tidewire.sources.spool_stream import unread_spool
+
+    if not stream and arrow_opens(spark, root):
+        return unread_spool(spark, root, {}).filter("n_bytes > 0")
     reader = spark.readStream if stream else spark.read
     reader = reader.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[0-9]*")
     if stream:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyarrow.fs import FileSelector, FileType
@@ -22,6 +23,12 @@ BATCH_BYTES = 16 << 20
 _HIGHEST = (1 << 63) - 1
 
 
+@lru_cache(maxsize=16)
+def _opened(root: str):
+    fs, base = open_root(root)
+    return fs, base.rstrip("/")
+
+
 class ArticleRange(InputPartition):
     """Articles of one feed from one number to another, as the names of their files."""
 
@@ -37,8 +44,7 @@ class Spool:
         self.root = root
 
     def _base(self):
-        fs, base = open_root(self.root)
-        return fs, base.rstrip("/")
+        return _opened(self.root)
 
     def articles(self, folder: str) -> tuple[list[tuple[int, str]], list[str]]:
         """``(number, file name)`` of the articles in a folder, by number, and its subfolders.
