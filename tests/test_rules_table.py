@@ -80,3 +80,16 @@ def test_size_is_checked(spark, monkeypatch):
     with pytest.raises(ValueError, match="at most 100"):
         R.first_rule(rules)
     assert spark.createDataFrame([("a", "b")], "newsgroup string, filename string").select(R.first_rule(rules.limit(0)).alias("r")).first().r is None
+
+
+def test_rules_met_by_joins_equal_the_trie(spark, monkeypatch):
+    rng = random.Random(4)
+    rules = [(n // 2, pattern(rng), pattern(rng), None if n % 9 == 0 else f"t{n}") for n in range(150)]
+    rules = spark.createDataFrame([*rules, (-1, None, "*", "no"), (None, "*", "*", "no"), (-1, "a*", "", "x")], "rule_no int, feed string, name string, template string")
+    rows = [(name(rng), name(rng), n) for n in range(400)] + [(None, "a", 500), ("a", None, 501), ("a", "a", 502), ("a", "a", 502), ("a\0", "b", 503), ("ab", "", 504)]
+    files = spark.createDataFrame(rows, "newsgroup string, filename string, n int")
+    expected = files.select("n", R.first_rule(rules).alias("template"))
+    monkeypatch.setattr(R, "MAX_RULE_BYTES", 100)  # holds for what goes to every task
+    got = R.match_first_rule(files, rules).select("n", "template")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, expected.collect()))
+    assert len({r.template for r in got.collect()}) > 10

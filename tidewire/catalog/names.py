@@ -7,7 +7,7 @@ from tidewire.functions import content, globs, sizes, template, times
 from tidewire.operators import batches as B
 from tidewire.operators import naming as J
 from tidewire.operators import roster as E
-from tidewire.operators.rules import first_rule
+from tidewire.operators.rules import match_first_rule
 from tidewire.operators.select import first_match_rule
 
 BLOCK = 1 << 14
@@ -194,7 +194,8 @@ def _(t):
     rules = t.documents.filter("doc_id % 3 = 1").selectExpr(
         "doc_id AS rule_no", "concat('*.', source) AS feed", "concat('doc-', doc_id, '*') AS name", "concat(lang, '/', doc_id) AS template"
     )
-    return t.files.select("newsgroup", "article_number", first_rule(rules).alias("template"))
+    files = t.files.select("newsgroup", "article_number", "filename")
+    return match_first_rule(files, rules).drop("filename")
 
 
 @query(

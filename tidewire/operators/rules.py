@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.globs import to_regex
+from tidewire.plans.storage import stage
 
 #: The rules go to every task: at most so many bytes of patterns and results.
 MAX_RULE_BYTES = 32 << 20
@@ -159,6 +160,64 @@ def first_rule(
     return _first_of(rules, order, [feed, name], result, fields, glob_tokens)
 
 
+def _anchor(pattern: Column) -> Column:
+    """The literal text that a glob begins with or, if none, ends with: ``(at_end, text)``."""
+    head = F.regexp_extract(pattern, r"(?s)^[^*?\[]*", 0)
+    tail = F.regexp_extract(pattern, r"(?s)[^*?\]]*\z", 0)
+    # a bracket that opens no class is a character of its own; such a pattern is left to the check
+    return F.struct((head == "").alias("at_end"), F.when(head == "", F.when(pattern.contains("["), "").otherwise(tail)).otherwise(head).alias("text"))
+
+
+def _regexes(globs: Column) -> Column:
+    return F.pandas_udf(lambda texts: texts.map(to_regex, na_action="ignore"), "string")(globs)
+
+
+def match_first_rule(
+    rows: DataFrame,
+    rules: DataFrame,
+    newsgroup: str = "newsgroup",
+    filename: str = "filename",
+    order: str = "rule_no",
+    feed: str = "feed",
+    name: str = "name",
+    result: str = "template",
+) -> DataFrame:
+    """``rows`` with the ``result`` that :func:`first_rule` gives them, for any number of rules: neither
+    rules nor rows are collected.
+
+    A rule is found by the text that its globs begin or end with, of both together, and
+    then checked; rows give their names' beginnings and ends of the lengths that rules have (few
+    ``shapes``). Rules without any such text meet every pair of names, as they have to."""
+    best = F.struct(F.col(order).alias("no"), F.col(result).cast("string").isNotNull().alias("some"), F.col(result).cast("string").alias("result"))
+    known = rules.filter(F.col(order).isNotNull() & F.col(feed).isNotNull() & F.col(name).isNotNull())
+    # of rules with equal patterns the least counts
+    least = known.groupBy(F.col(feed).alias("__feed"), F.col(name).alias("__name")).agg(F.min(best).alias("__best"))
+    a, b = _anchor(F.col("__feed")), _anchor(F.col("__name"))
+    least = least.select(
+        "__best", _regexes(F.col("__feed")).alias("__feed"), _regexes(F.col("__name")).alias("__name"),
+        a["at_end"].alias("fe"), F.length(a["text"]).alias("fl"), b["at_end"].alias("ne"), F.length(b["text"]).alias("nl"),
+        a["text"].alias("ft"), b["text"].alias("nt"),
+    )
+    least = stage(least, "rules")
+    shape = ["fe", "fl", "ne", "nl"]
+    found = F.array_sort(F.collect_set(F.struct(*shape)))
+    shapes = least.agg(found.alias("shapes"))
+
+    def part(text: Column, at_end: Column, length: Column) -> Column:
+        return F.when(at_end, F.substring(text, F.length(text) - length + 1, length)).otherwise(F.substring(text, F.lit(1), length))
+
+    f, n = F.col("__f"), F.col("__n")
+    names = rows.select(F.col(newsgroup).alias("__f"), F.col(filename).alias("__n")).distinct()
+    names = names.filter(~f.contains("\0") & ~n.contains("\0"))
+    asked = names.crossJoin(shapes).select("__f", "__n", F.explode("shapes").alias("s")).select("__f", "__n", "s.*")
+    asked = asked.filter((F.length(f) >= F.col("fl")) & (F.length(n) >= F.col("nl")))
+    asked = asked.withColumn("ft", part(f, F.col("fe"), F.col("fl"))).withColumn("nt", part(n, F.col("ne"), F.col("nl")))
+    met = asked.join(least, [*shape, "ft", "nt"]).filter(F.rlike(f, F.col("__feed")) & F.rlike(n, F.col("__name")))
+    first = met.groupBy("__f", "__n").agg(F.min("__best")["result"].alias(result))
+    kept = rows.drop(result)
+    return kept.join(first, (kept[newsgroup] == first["__f"]) & (kept[filename] == first["__n"]), "left").drop("__f", "__n")
+
+
 def log_rule(rules: DataFrame, name: Column, order: str = "rule_no", pattern: str = "pattern", result: str = "keep") -> Column:
     """The same for patterns of log names: whether the first that matches keeps a record; no match drops."""
     return F.coalesce(_first_of(rules, order, [pattern], result, [name], path_tokens).cast("boolean"), F.lit(False))
