@@ -55,3 +55,27 @@ def test_files_are_flat_ids(spark, documents):
     assert ids == plain.encode("One small text", add_special_tokens=False).ids + [token_files.END, token_files.END]
     with pytest.raises(UnicodeDecodeError):
         token_files.write(documents("a"), path, end=0xFFC0)
+
+
+def test_files_are_cut_and_scanned_by_one_worker(spark, monkeypatch):
+    path = shared_path(spark, "flat")
+    token_files.write(spark.createDataFrame([(f"one two three {n} " * n,) for n in range(40)], "text string").repartition(3), path)
+    two_steps = sorted(map(tuple, token_files.scan(token_files.blocks(spark, path, 16)).collect()))
+    plans = []
+    kept = token_files.stage
+    monkeypatch.setattr(token_files, "stage", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, name))[1])
+    assert sorted(map(tuple, token_files.scan_files(spark, path, 16).collect())) == two_steps and len(two_steps) == 40
+    assert plans[0].count("MapInArrow") == 1
+
+
+def test_new_pieces_go_to_the_tokenizer_in_parts(monkeypatch):
+    from tidewire.llm import tokens
+
+    texts = [" ".join(f"Word{n}x{k} plain{'abc'[k % 3]} é{k}." for k in range(50)) for n in range(20)]
+    whole = tokens.Encoder(tokens.public_path()).encode(texts)
+    monkeypatch.setattr(tokens, "_AT_ONCE", 7)
+    coder, sizes = tokens.Encoder(tokens.public_path()), []
+    for name in ("_ids", "_word_ids"):
+        kept = getattr(coder, name)
+        monkeypatch.setattr(coder, name, lambda pieces, kept=kept: (sizes.append(len(pieces)), kept(pieces))[1])
+    assert coder.encode(texts) == whole and max(sizes) <= 7

@@ -47,8 +47,8 @@ def write(docs: DataFrame, path: str, dtype: str = DTYPE, end: int = END, tokeni
         coder = encoder(file, dtype, special_as_text=True)
         for batch in batches:
             texts = batch.column("text")
-            for at in range(0, len(texts), 256):
-                yield pa.RecordBatch.from_pydict({"ids": pa.array(coder.encode(texts.slice(at, 256).to_pylist()), pa.binary())})
+            for at in range(0, len(texts), 64):
+                yield pa.RecordBatch.from_pydict({"ids": pa.array(coder.encode(texts.slice(at, 64).to_pylist()), pa.binary())})
 
     coded = docs.select("text").mapInArrow(run, "ids binary")
     coded.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", separator).text(path)
@@ -61,8 +61,12 @@ def manifest(docs: DataFrame) -> DataFrame:
     return rows.select(F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"), "doc_id")
 
 
-def blocks(spark: SparkSession, path: str, block: int = BLOCK, dtype: str = DTYPE) -> DataFrame:
-    """(file, block, ids): the files below path, cut into blocks of `block` ids."""
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content")
+
+
+def _cutter(block: int, dtype: str):
     size = block * np.dtype(dtype).itemsize
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,12 +77,15 @@ def blocks(spark: SparkSession, path: str, block: int = BLOCK, dtype: str = DTYP
                     part = whole.slice(at, min(size, whole.size - at)).to_pybytes()
                     yield pa.RecordBatch.from_pydict({"file": [name], "block": pa.array([k], pa.int64()), "ids": pa.array([part], pa.binary())})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(cut, "file string, block long, ids binary")
+    return cut
 
 
-def scan(blocks_: DataFrame, dtype: str = DTYPE, end: int = END) -> DataFrame:
-    """(file, place, n_tokens, ended) of every document in (file, block, ids)."""
+def blocks(spark: SparkSession, path: str, block: int = BLOCK, dtype: str = DTYPE) -> DataFrame:
+    """(file, block, ids): the files below path, cut into blocks of `block` ids."""
+    return _files(spark, path).mapInArrow(_cutter(block, dtype), "file string, block long, ids binary")
+
+
+def _finder(dtype: str, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +99,25 @@ def scan(blocks_: DataFrame, dtype: str = DTYPE, end: int = END) -> DataFrame:
                     "rest": pa.array([rest], pa.int64()), "sizes": pa.array([sizes], pa.list_(pa.int64())),
                 })
 
-    seen = stage(blocks_.mapInArrow(run, "file string, block long, found long, rest long, sizes array<long>"), "separators")
+    return run
+
+
+_FOUND = "file string, block long, found long, rest long, sizes array<long>"
+
+
+def scan(blocks_: DataFrame, dtype: str = DTYPE, end: int = END) -> DataFrame:
+    """(file, place, n_tokens, ended) of every document in (file, block, ids)."""
+    return _stitched(blocks_.mapInArrow(_finder(dtype, end), _FOUND))
+
+
+def scan_files(spark: SparkSession, path: str, block: int = BLOCK, dtype: str = DTYPE, end: int = END) -> DataFrame:
+    """`scan` of the `blocks` of files, both in one Python worker a task."""
+    cut, find = _cutter(block, dtype), _finder(dtype, end)
+    return _stitched(_files(spark, path).mapInArrow(lambda batches: find(cut(batches)), _FOUND))
+
+
+def _stitched(found: DataFrame) -> DataFrame:
+    seen = stage(found, "separators")
     # one row per block: separators before it, and tokens since the last of them
     before = Window.partitionBy("file").orderBy("block")
     until = before.rowsBetween(Window.unboundedPreceding, -1)
@@ -121,7 +146,7 @@ def counts(docs: DataFrame, tokenizer: str | None = None, block: int = BLOCK) ->
     spark = docs.sparkSession
     path = shared_path(spark, "tokens")
     write(docs, path, tokenizer=tokenizer)
-    found = scan(blocks(spark, path, block))
+    found = scan_files(spark, path, block)
     part = F.regexp_extract("file", r"part-(\d+)-", 1).cast("long")
     found = stage(found.select(part.alias("part"), "place", "n_tokens"), "counts")
     named = stage(manifest(docs), "manifest")

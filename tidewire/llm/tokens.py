@@ -16,6 +16,8 @@ from functools import lru_cache
 import numpy as np
 
 _PIECES = 600_000
+#: New pieces that go to the tokenizer at once; what it makes of them is many times their size.
+_AT_ONCE = 8192
 _LONGEST = 40
 #: Letters beyond these have rules of their own for lower case.
 _FAR = re.compile("[^\\x00-\u024f]")
@@ -85,7 +87,11 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         words = [p for p in pieces if p.isalpha() and p.islower() and not _FAR.search(p)]
         others = list(set(pieces).difference(words))
-        new = dict(zip(words, self._word_ids(words))) | dict(zip(others, self._ids(others)))
+        new = {}
+        for some, ids in ((words, self._word_ids), (others, self._ids)):
+            for at in range(0, len(some), _AT_ONCE):
+                part = some[at : at + _AT_ONCE]
+                new |= zip(part, ids(part))
         self._known.update(new if max(map(len, new), default=0) <= _LONGEST else {p: b for p, b in new.items() if len(p) <= _LONGEST})
         return new
 
